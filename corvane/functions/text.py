@@ -48,10 +48,10 @@ def sanitize_line(text: Column) -> Column:
 
 
 def format_size(n: Column) -> Column:
-    """Bytes as B, KB, MB or GB in units of 1024 with one decimal."""
+    """Bytes as B, KB, MB or GB in units of 1024 with one decimal, ties to even."""
     out = F.format_string("%d B", n.cast("long"))
     for unit, power in (("KB", 1), ("MB", 2), ("GB", 3)):
-        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(out)
+        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**power, 1))).otherwise(out)
     return out
 
 

@@ -1,6 +1,6 @@
 """Queries over the test tables and their SQL twins."""
 
-from corvane.plans import retrieval
+from corvane.plans import catalog, pages, retrieval, tabular
 from corvane.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "retrieval"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "pages", "retrieval", "tabular"]
