@@ -17,6 +17,7 @@ Steps, each a Spark job over a keyed shuffle:
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,16 +52,15 @@ def shingle_set(text: str | None, memo: Memo) -> np.ndarray:
 
 
 def multipliers(count: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(seed).integers(0, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def minhashes(s: np.ndarray, mult: np.ndarray) -> np.ndarray:
-    """The smallest of each hash function over the set, a slice of shingles at a time."""
+    """The smallest of each hash function over the set, a slice of shingles at a time; a hash is a product modulo 2**32."""
     low = np.full(len(mult), 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(s), 4096):
-        part = (mult[:, None] * s[None, i : i + 4096]) >> np.uint64(32)
-        low = np.minimum(low, part.min(axis=1).astype(np.uint32))
+    s = (s >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(s), 2048):
+        low = np.minimum(low, (mult[:, None] * s[None, i : i + 2048]).min(axis=1))
     return low
 
 
@@ -171,21 +171,39 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     with_part = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("p"), F.greatest(p, F.col("part")).alias("q")))
     rest = rest.withColumn("at", F.explode(with_part)).select("key", "band", "at.p", "at.q", "part", "id", "lab", "n", "home", "mins")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, lab_, n, home, part = (pdf[c].to_numpy() for c in ("id", "lab", "n", "home", "part"))
-        sig = np.frombuffer(b"".join(pdf["mins"]), np.uint32).reshape(len(pdf), width)
-        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-        found = set()
-        for i in np.flatnonzero((part == p) if p != q else np.ones(len(pdf), bool)):
-            ok = (lab_ != lab_[i]) & (home | home[i]) & (np.minimum(n, n[i]) * den >= np.maximum(n, n[i]) * num)
-            ok &= (part == q) if p != q else (ids > ids[i])
-            j = np.flatnonzero(ok)
-            if len(j):
-                j = j[(sig[j] == sig[i]).sum(axis=1) >= floor * width]
-                found.update((min(ids[i], x), max(ids[i], x)) for x in ids[j])
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
-
-    second = rest.groupBy("key", "band", "p", "q").applyInPandas(compare, "a long, b long").distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; a group may go on in the next batch."""
+        rest: pa.Table | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                rest = pa.Table.from_batches([*(rest.to_batches() if rest is not None else []), batch])
+            if rest is None or not len(rest):
+                continue
+            group = np.column_stack([rest.column(c).to_numpy() for c in ("key", "band", "p", "q")])
+            cuts = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
+            whole = cuts[-1] if batch is not None and len(cuts) else 0 if batch is not None else len(rest)
+            if not whole:
+                continue
+            done, rest = rest.slice(0, whole), rest.slice(whole)
+            p, q, part, ids, lab_, n, home = (done.column(c).to_numpy(zero_copy_only=False) for c in ("p", "q", "part", "id", "lab", "n", "home"))
+            sig = np.frombuffer(b"".join(done.column("mins").to_pylist()), np.uint32).reshape(-1, width)
+            found = set()
+            for a, b in itertools.pairwise([0, *cuts[cuts < whole], whole]):
+                same = p[a] == q[a]
+                for i in range(a, b - 1) if same else a + np.flatnonzero(part[a:b] == p[a]):
+                    o = slice(i + 1, b) if same else slice(a, b)
+                    ok = (lab_[o] != lab_[i]) & (home[o] | home[i]) & (np.minimum(n[o], n[i]) * den >= np.maximum(n[o], n[i]) * num)
+                    if not same:
+                        ok &= part[o] == q[a]
+                    if ok.any():
+                        j = o.start + np.flatnonzero(ok)
+                        j = j[(sig[j] == sig[i]).sum(axis=1) >= floor * width]
+                        found.update((min(ids[i], x), max(ids[i], x)) for x in ids[j])
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+
+    group = ["key", "band", "p", "q"]
+    second = rest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group).mapInArrow(compare, "a long, b long").distinct()
     second = scratch.keep(second.join(first, ["a", "b"], "left_anti"), "pairs")
     more = _confirm(scratch, docs, second, num, den)
     final = scratch.keep(connected_components(scratch, links.union(more)), "final")
