@@ -32,7 +32,7 @@ from corvane.llm.shared import Memo, Scratch, connected_components, mix, word_ha
 WORDS = 5
 #: Members of a bucket that are compared with each other in one group of a task.
 BLOCK = 512
-_FEATURES = "doc_id long, n_shingles long, set_hi long, set_lo long, mins binary"
+_FEATURES = "doc_id long, n_shingles long, set_hi long, set_lo long, blocks array<long>, sig binary"
 _MULT = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
 
 
@@ -65,28 +65,27 @@ def minhashes(s: np.ndarray, mult: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, rows: int, blocks: int, seed: int = 11) -> DataFrame:
+    """Per text: set size, digest of the set, a key for each block of minhashes, and the low byte of each minhash."""
+    mult, fold = multipliers(2 * rows * blocks, seed), np.array([pow(_MULT[0].item(), k + 1, 1 << 64) for k in range(rows)], np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, mult = word_hashes(), multipliers(2 * rows * blocks, seed)
+        memo, number = word_hashes(), np.arange(2 * blocks, dtype=np.uint64)
         for batch in batches:
-            n, hi, lo, sig = [], [], [], []
+            n, hi, lo, keys, sig = [], [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), memo)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 hi.append((d >> 64) - (1 << 63))
                 lo.append((d & ((1 << 64) - 1)) - (1 << 63))
-                sig.append(minhashes(s, mult).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_hi", "set_lo", "mins"])
+                low = minhashes(s, mult) if len(s) else np.empty(0, np.uint32)
+                sig.append(low.astype(np.uint8).tobytes())
+                keys.append(mix((low.reshape(-1, rows) * fold).sum(axis=1, dtype=np.uint64) + number).view(np.int64) if len(s) else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_hi", "set_lo", "blocks", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FEATURES)
 
 
-def _block_keys(feats: DataFrame, rows: int, blocks: int) -> DataFrame:
-    """(side, i, key, id) of every block; a block is 4 * rows bytes of mins."""
-    part = lambda k: F.xxhash64(F.substring("mins", k * 4 * rows + 1, 4 * rows), F.lit(k))
-    return feats.select(F.col("doc_id").alias("id"), F.posexplode(F.array(*[part(k) for k in range(2 * blocks)])).alias("k", "key"))
-
-
 def _confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs(a, b), the links: den * intersection >= num * union over the full sets."""
 
@@ -135,19 +134,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     reps = feats.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
     rep_of = scratch.keep(feats.filter("n_shingles > 0").select("doc_id", "set_hi", "set_lo").join(reps, ["set_hi", "set_lo"]).select("doc_id", "rep"), "representatives")
     alone = feats.join(rep_of.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    alone = scratch.keep(alone.select("doc_id", "n_shingles", "mins"), "sets")
+    alone = scratch.keep(alone.select("doc_id", "n_shingles", "blocks", "sig"), "sets")
     # blocks that at least two sets share
-    keys = _block_keys(alone, rows, blocks)
+    keys = alone.select(F.col("doc_id").alias("id"), F.posexplode("blocks").alias("k", "key"))
     shared = keys.groupBy("k", "key").agg(F.count("*").alias("c")).filter("c > 1")
     held = keys.join(shared.select("k", "key"), ["k", "key"])
-    sides = held.groupBy("id").agg(F.collect_list(F.when(F.col("k") < blocks, F.col("key"))).alias("a"), F.collect_list(F.when(F.col("k") >= blocks, F.col("key"))).alias("b"))
-    tensor = sides.select("id", F.explode("a").alias("ka"), "b").select("id", "ka", F.explode("b").alias("kb")).select("id", F.xxhash64("ka", "kb").alias("key"))
+    side = lambda test: F.collect_list(F.when(test, F.struct("k", "key")))
+    sides = held.groupBy("id").agg(side(F.col("k") < blocks).alias("a"), side(F.col("k") >= blocks).alias("b"))
+    tensor = sides.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b"))
+    tensor = tensor.select("id", F.xxhash64("a.key", "b.key").alias("key"), (F.col("a.k") * 256 + F.col("b.k") - blocks).alias("t"))
     counted = tensor.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low")).filter("c > 1")
-    buckets = scratch.keep(tensor.join(counted, "key").select("key", "id", "low"), "buckets")
-    size = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "mins")
+    buckets = scratch.keep(tensor.join(counted, "key").select("key", "t", "id", "low"), "buckets")
+    size = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig")
 
     def agree(x: pd.Series, y: pd.Series) -> np.ndarray:
-        return np.array([np.count_nonzero(np.frombuffer(p, np.uint32) == np.frombuffer(q, np.uint32)) for p, q in zip(x, y, strict=True)]) / width
+        return np.array([np.count_nonzero(np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)) for p, q in zip(x, y, strict=True)]) / width
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -155,24 +156,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
 
     fits = lambda p, q: (F.least(p, q) * den >= F.greatest(p, q) * num)
     first = buckets.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    first = first.join(size.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("mins").alias("mb")), "b").join(size.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("mins").alias("ma")), "a")
+    first = first.join(size.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("mb")), "b").join(size.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ma")), "a")
     first = scratch.keep(first.filter(fits(F.col("na"), F.col("nb"))).filter(near("ma", "mb")).select("a", "b"), "stars")
     links = _confirm(scratch, docs, first, num, den)
     labels = scratch.keep(connected_components(scratch, links), "components")
     # what the stars left open
-    lab = buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("lab"))
+    lab = buckets.select("key", "t", "id").join(labels, "id", "left").select("key", "t", "id", F.coalesce("component", "id").alias("lab"))
     mixed = lab.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).filter("lo < hi").select("key")
     step = float(np.log(den / num)) * (1 + 1e-9)  # sets in reach of each other are one band apart at most
-    rest = lab.join(mixed, "key").join(size, "id").select("key", "id", "lab", "n", "mins", F.floor(F.log(F.col("n")) / step).alias("band"))
-    rest = rest.select("key", "id", "lab", "n", "mins", F.explode(F.array(F.struct("band", F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))).alias("x")).select("key", "id", "lab", "n", "mins", "x.*")
+    band = F.floor(F.log(F.col("n")) / step)
+    bands = F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))
+    rest = lab.join(mixed, "key").join(size.select("id", "n"), "id").select("key", "t", "id", "lab", F.explode(bands).alias("x")).select("key", "t", "id", "lab", "x.*")
     open_ = scratch.keep(rest, "open")
-    many = open_.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("lab").alias("lo"), F.max("lab").alias("hi")).filter("lo < hi").select("key", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    many = open_.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.max("home").alias("any")).filter("lo < hi and any").select("key", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
     rest = open_.join(many, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     with_part = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("p"), F.greatest(p, F.col("part")).alias("q")))
-    rest = rest.withColumn("at", F.explode(with_part)).select("key", "band", "at.p", "at.q", "part", "id", "lab", "n", "home", "mins")
+    rest = rest.withColumn("at", F.explode(with_part)).select("key", "t", "band", "at.p", "at.q", "part", "id", "lab", "home").join(size, "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group; a group may go on in the next batch."""
+        """Rows come sorted by group; a group may go on in the next batch. A pair counts in the first table it shares."""
         rest: pa.Table | None = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
@@ -186,8 +188,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
                 continue
             done, rest = rest.slice(0, whole), rest.slice(whole)
             p, q, part, ids, lab_, n, home = (done.column(c).to_numpy(zero_copy_only=False) for c in ("p", "q", "part", "id", "lab", "n", "home"))
-            sig = np.frombuffer(b"".join(done.column("mins").to_pylist()), np.uint32).reshape(-1, width)
-            found = set()
+            sig, t = np.frombuffer(b"".join(done.column("sig").to_pylist()), np.uint8).reshape(-1, width), done.column("t").to_numpy()
+            found = []
             for a, b in itertools.pairwise([0, *cuts[cuts < whole], whole]):
                 same = p[a] == q[a]
                 for i in range(a, b - 1) if same else a + np.flatnonzero(part[a:b] == p[a]):
@@ -197,13 +199,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
                         ok &= part[o] == q[a]
                     if ok.any():
                         j = o.start + np.flatnonzero(ok)
-                        j = j[(sig[j] == sig[i]).sum(axis=1) >= floor * width]
-                        found.update((min(ids[i], x), max(ids[i], x)) for x in ids[j])
-            pairs = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+                        same_min = sig[j] == sig[i]
+                        j, same_min = j[near := same_min.sum(axis=1) >= floor * width], same_min[near]
+                        in_block = same_min.reshape(len(j), 2, blocks, rows).all(axis=3).argmax(axis=2)
+                        found += [(min(ids[i], x), max(ids[i], x)) for x in ids[j[in_block[:, 0] * 256 + in_block[:, 1] == t[i]]]]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     group = ["key", "band", "p", "q"]
-    second = rest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group).mapInArrow(compare, "a long, b long").distinct()
+    second = rest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group).mapInArrow(compare, "a long, b long")
     second = scratch.keep(second.join(first, ["a", "b"], "left_anti"), "pairs")
     more = _confirm(scratch, docs, second, num, den)
     final = scratch.keep(connected_components(scratch, links.union(more)), "final")

@@ -1,8 +1,7 @@
 """Token ids in ORC: one row per document, stripes of bounded size, integer run-length encoding.
 
-The file format is Spark's own ORC writer's. A row holds doc_id, the position of its first id in the whole
-sequence's file (start_in_file), the number of ids and the ids as array<int>, which ORC packs by its integer
-run-length encoding. Stripes are read in parallel (one split each), row indexes and Bloom filters on doc_id
+The file format is that of Spark's own ORC writer. A row holds doc_id, the number of ids and the ids as
+array<int>, which ORC packs by its integer run-length encoding. Stripes are read in parallel (one split each), row indexes and Bloom filters on doc_id
 let a reader skip stripes and row groups that can't hold a document. Files hold ascending, disjoint ranges
 of doc_id; an index table beside them has each file's smallest doc_id and its number of ids, so that a
 document's place in the whole sequence is the sum over the files before its own plus its place in the file.
@@ -11,22 +10,30 @@ document's place in the whole sequence is the sum over the files before its own
 from __future__ import annotations
 
 import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Pieces of text whose ids one Python worker remembers, and the longest of them in characters.
-MEMO_PIECES, PIECE_CHARS = 300_000, 48
-#: A text with this mark may hold a special token; it goes to the tokenizer as a whole.
-SPECIAL = "<|"
-#: A space after which no word starts: the piece before it and what follows belong together.
-_LOOSE_SPACE = re.compile(r" (?:\s|$)")
+from corvane.llm.bpe import byte_symbols
+from corvane.llm.shared import Memo
+
+#: Words whose ids one Python worker remembers, in two generations.
+MEMO_WORDS = 500_000
+#: A text with one of these may hold a special token, or white space on which libraries differ.
+_WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+_WIDE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A space after which no word starts: what stands before it and what follows belong together.
+_LOOSE = ("  ", " \n", " \t", " \r", " \v", " \f")
+_WIDE_LOOSE = re.compile(f" [{_WIDE}]")
 _BEFORE_WORD = re.compile(r"(?= \S)")
-_ROW = "doc_id long, ids array<int>"
+_ROW = "doc_id long, n_ids long, ids array<int>"
 
 
 def load_tokenizer(spec: str):
@@ -40,52 +47,52 @@ class PieceEncoder:
     """Encodes whole texts with a byte-level tokenizer; words that recur are encoded once for a worker.
 
     Such a tokenizer starts a new word at every space that a non-space follows, whatever stands before, so the
-    ids of a text are those of the pieces between such places. Texts in which special tokens may stand and long
-    pieces are given to the tokenizer as they are.
+    ids of a text are those of the pieces between such places. A new word is cut into pretokens by the tokenizer's
+    own pattern (a fixed value) and each is given to the library's model. What stands before the first word, and texts
+    in which special tokens may stand, are given to the tokenizer as they are.
     """
 
+    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
     def __init__(self, spec: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = load_tokenizer(spec)
-        self.memo: dict[str, bytes] = {}  # of a word after a space, which isn't in the key
-        self.old: dict[str, bytes] = {}  # the generation before
+        self.tokenize = self.tokenizer.model.tokenize
+        self.symbols = str.maketrans({chr(b): c for b, c in enumerate(byte_symbols())})
+        self.marks = {c: self._ids(c) for c in string.punctuation}
+        self.words = Memo(self._word, MEMO_WORDS)  # by the word after a space, which isn't in the key
+
+    def _ids(self, pretoken: str) -> bytes:
+        plain = pretoken.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
+        return array("I", [t.id for t in self.tokenize(plain)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if word.isalpha():
+            return self._ids(" " + word)
+        if (mark := self.marks.get(word[-1:])) and word[:-1].isalpha():
+            return self._ids(" " + word[:-1]) + mark
+        return b"".join(map(self._ids, self.PATTERN.findall(" " + word)))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 4096):
-            out += [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
-        return out
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     @staticmethod
     def cut(text: str) -> tuple[str, list[str]]:
         """What stands before the first word that follows a space, and those words; rejoined by spaces they are the text."""
-        if SPECIAL in text:
+        if any(map(text.__contains__, _WHOLE)):
             return text, []
-        if _LOOSE_SPACE.search(text):
+        if text.endswith(" ") or any(map(text.__contains__, _LOOSE)) or not text.isascii() and _WIDE_LOOSE.search(text):
             first, *rest = _BEFORE_WORD.split(text)
             return first, [w[1:] for w in rest]
         first, *rest = text.split(" ")
         return first, rest
 
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, in order, as unsigned 32-bit integers."""
-        if len(self.memo) > MEMO_PIECES:
-            self.memo, self.old = {}, self.memo
-        memo = self.memo
-        firsts, rests = zip(*map(self.cut, texts), strict=True) if texts else ((), ())
-        new = set().union(*rests).difference(memo)
-        memo.update((w, self.old[w]) for w in new.intersection(self.old))
-        new.difference_update(self.old)
-        short = [w for w in new if len(w) <= PIECE_CHARS]
-        memo.update(zip(short, self._encode([" " + w for w in short]), strict=True))
-        for first, words in zip(self._encode(list(firsts)), rests, strict=True):
-            try:
-                joined = b"".join(map(memo.__getitem__, words))
-            except KeyError:
-                joined = b"".join([memo[w] if w in memo else self._encode([" " + w])[0] for w in words])
-            yield np.frombuffer(first + joined, np.uint32)
+    def __call__(self, text: str) -> bytes:
+        """The ids of a text as unsigned 32-bit integers."""
+        first, rest = self.cut(text)
+        return self._encode(first) + b"".join(map(self.words.__getitem__, rest))
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -112,22 +119,21 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(spec.value)
-        end = np.array([end_id], np.uint32)
+        encode, end = encoder(spec.value), np.array([end_id], np.uint32).tobytes()
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                ids = [np.append(x, end) for x in encode([t or "" for t in part.column(1).to_pylist()])]
-                flat = pa.array(np.concatenate(ids).view(np.int32))
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc_id", "ids"])
+                ids = [encode(t or "") + end for t in part.column(1).to_pylist()]
+                counts = np.array([len(x) // 4 for x in ids], np.int64)
+                offsets = np.concatenate(([0], counts.cumsum())).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), lists], names=["doc_id", "n_ids", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     tokens = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _ROW)
     (tokens.write.option("compression", "zstd").option("orc.stripe.size", stripe_mb << 20).option("orc.row.index.stride", 1000).option("orc.create.index", "true")
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(f"{path}/ids"))
-    sizes = spark.read.schema(_ROW).orc(f"{path}/ids").groupBy(F.input_file_name().alias("path")).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n_docs"), F.sum(F.size("ids").cast("long")).alias("n_ids"))
+    sizes = spark.read.schema(_ROW).orc(f"{path}/ids").groupBy(F.input_file_name().alias("path")).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n_docs"), F.sum("n_ids").alias("n_ids"))
     # one row for each file: the only ordered pass over all of them
     before = F.sum("n_ids").over(Window.orderBy("first_id", "path").rowsBetween(Window.unboundedPreceding, -1))
     sizes.select("*", F.coalesce(before, F.lit(0)).alias("start")).write.parquet(f"{path}/index")
@@ -135,7 +141,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of the files (doc_id, ids), by stripes in parallel; a filter on doc_id prunes by their metadata."""
+    """The documents of the files (doc_id, n_ids, ids), by stripes in parallel; a filter on doc_id prunes by their metadata."""
     return spark.read.schema(_ROW).orc(f"{path}/ids")
 
 
