@@ -32,6 +32,8 @@ from corvane.llm.shared import Memo, Scratch, connected_components, mix, word_ha
 WORDS = 5
 #: Members of a bucket that are compared with each other in one group of a task.
 BLOCK = 512
+#: Bits of the map that tells which documents may be needed; it is broadcast (2 MB) whatever the corpus.
+MAP_BITS = 1 << 24
 _FEATURES = "doc_id long, n_shingles long, set_hi long, set_lo long, blocks array<long>, sig binary"
 _MULT = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
 
@@ -86,6 +88,15 @@ def features(docs: DataFrame, rows: int, blocks: int, seed: int = 11) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FEATURES)
 
 
+def _may_be_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of rows(id, ...), those whose id is in ids(id) and perhaps others: a bitmap of hashed ids spares most texts a shuffle."""
+    h = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)) + 1
+    bits = ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits"))
+    at = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(h) == F.col("__part")).filter(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__part", "__bits")
+
+
 def _confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs(a, b), the links: den * intersection >= num * union over the full sets."""
 
@@ -108,11 +119,11 @@ def _confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame, num: int, den:
 
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = text.join(ids, "id", "left_semi")
-    needed = scratch.keep(needed, "texts")
+    ids = scratch.keep(ids, "ids")
+    needed = scratch.keep(_may_be_in(text, ids).join(ids, "id", "left_semi"), "texts")
     both = pairs.join(needed.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(needed.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
     links = scratch.keep(both.select("a", "ta", "b", "tb").mapInArrow(run, "src long, dst long"), "links")
-    scratch.drop(needed)
+    scratch.drop(needed, ids)
     return links
 
 
