@@ -12,7 +12,8 @@ Steps, each a Spark job over a keyed shuffle:
 3. blocks that only one set has are dropped before the pairs are formed: they can't be part of a shared key;
 4. in each bucket every member is paired with the smallest one; the distinct pairs are verified;
 5. buckets in which more than one component is left are compared in full, in blocks of bounded size and
-   within reach of each other's set size, only across components; what agrees on enough minhashes is verified.
+   within reach of each other's set size, only across components; what agrees on enough minhashes and on a
+   sketch of the smallest shingles, which is the whole set of a short text, is verified.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ from corvane.llm.shared import Memo, Scratch, connected_components, mix, word_ha
 WORDS = 5
 #: Members of a bucket that are compared with each other in one group of a task.
 BLOCK = 512
+#: Shingles of a set in its sketch: a comparison of sets up to this size is exact.
+SKETCH = 128
 #: Bits of the map that tells which documents may be needed; it is broadcast (2 MB) whatever the corpus.
 MAP_BITS = 1 << 24
-_FEATURES = "doc_id long, n_shingles long, set_hi long, set_lo long, blocks array<long>, sig binary"
+_FEATURES = "doc_id long, n_shingles long, set_hi long, set_lo long, blocks array<long>, sig binary, sketch binary"
 _MULT = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
 
 
@@ -67,13 +70,14 @@ def minhashes(s: np.ndarray, mult: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, rows: int, blocks: int, seed: int = 11) -> DataFrame:
-    """Per text: set size, digest of the set, a key for each block of minhashes, and the low byte of each minhash."""
+    """Per text: set size, digest of the set, a key for each block of minhashes, the low byte of each minhash, and the
+    upper halves of the SKETCH smallest shingles."""
     mult, fold = multipliers(2 * rows * blocks, seed), np.array([pow(_MULT[0].item(), k + 1, 1 << 64) for k in range(rows)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, number = word_hashes(), np.arange(2 * blocks, dtype=np.uint64)
         for batch in batches:
-            n, hi, lo, keys, sig = [], [], [], [], []
+            n, hi, lo, keys, sig, sketch = [], [], [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), memo)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -82,8 +86,9 @@ def features(docs: DataFrame, rows: int, blocks: int, seed: int = 11) -> DataFra
                 lo.append((d & ((1 << 64) - 1)) - (1 << 63))
                 low = minhashes(s, mult) if len(s) else np.empty(0, np.uint32)
                 sig.append(low.astype(np.uint8).tobytes())
+                sketch.append((s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
                 keys.append(mix((low.reshape(-1, rows) * fold).sum(axis=1, dtype=np.uint64) + number).view(np.int64) if len(s) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_hi", "set_lo", "blocks", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "set_hi", "set_lo", "blocks", "sig", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FEATURES)
 
@@ -97,6 +102,31 @@ def _may_be_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(bits), F.bitmap_bucket_number(h) == F.col("__part")).filter(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__part", "__bits")
 
 
+def sketch_matrix(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches as rows, filled up to SKETCH with the largest value, and their lengths."""
+    size = np.array([len(x) // 4 for x in sketches])
+    out = np.full((len(sketches), SKETCH), 0xFFFFFFFF, np.uint32)
+    out[np.arange(SKETCH) < size[:, None]] = np.frombuffer(b"".join(sketches), np.uint32)
+    return out, size
+
+
+def sketches_near(i: int, j: np.ndarray, matrix: np.ndarray, size: np.ndarray, n: np.ndarray, least: float, slack: float) -> np.ndarray:
+    """Which of the sets j may have similarity `least` with set i, as far as the smallest shingles of their union tell.
+
+    Up to the last shingle that both sketches reach, the union is known; if it is all of the union the answer is exact,
+    else the share in both may be `slack` standard deviations of a draw without replacement below `least`.
+    """
+    x, y = matrix[i, : size[i]], matrix[j]
+    full = np.uint32(0xFFFFFFFF)
+    last = np.minimum(x[-1] if n[i] > size[i] else full, np.where(n[j] > size[j], y[np.arange(len(j)), size[j] - 1], full))
+    within = (y <= last[:, None]) & (np.arange(SKETCH) < size[j][:, None])
+    both = (within & (x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)).sum(axis=1)
+    union = np.searchsorted(x, last, "right") + within.sum(axis=1) - both
+    whole = (n[i] + n[j]) / (1 + least)
+    spread = np.sqrt(least * (1 - least) / union * np.maximum(0, 1 - union / whole))
+    return both >= (least - slack * spread) * union - 1e-6
+
+
 def _confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs(a, b), the links: den * intersection >= num * union over the full sets."""
 
@@ -145,7 +175,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     reps = feats.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
     rep_of = scratch.keep(feats.filter("n_shingles > 0").select("doc_id", "set_hi", "set_lo").join(reps, ["set_hi", "set_lo"]).select("doc_id", "rep"), "representatives")
     alone = feats.join(rep_of.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    alone = scratch.keep(alone.select("doc_id", "n_shingles", "blocks", "sig"), "sets")
+    alone = scratch.keep(alone.select("doc_id", "n_shingles", "blocks", "sig", "sketch"), "sets")
     # blocks that at least two sets share
     keys = alone.select(F.col("doc_id").alias("id"), F.posexplode("blocks").alias("k", "key"))
     shared = keys.groupBy("k", "key").agg(F.count("*").alias("c")).filter("c > 1")
@@ -156,7 +186,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     tensor = tensor.select("id", F.xxhash64("a.key", "b.key").alias("key"), (F.col("a.k") * 256 + F.col("b.k") - blocks).alias("t"))
     counted = tensor.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low")).filter("c > 1")
     buckets = scratch.keep(tensor.join(counted, "key").select("key", "t", "id", "low"), "buckets")
-    size = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig")
+    size = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "sketch")
 
     def agree(x: pd.Series, y: pd.Series) -> np.ndarray:
         return np.array([np.count_nonzero(np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)) for p, q in zip(x, y, strict=True)]) / width
@@ -182,7 +212,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     many = open_.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.max("home").alias("any")).filter("lo < hi and any").select("key", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
     rest = open_.join(many, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     with_part = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("p"), F.greatest(p, F.col("part")).alias("q")))
-    rest = rest.withColumn("at", F.explode(with_part)).select("key", "t", "band", "at.p", "at.q", "part", "id", "lab", "home").join(size, "id")
+    rest = rest.withColumn("at", F.explode(with_part)).select("key", "t", "band", "at.p", "at.q", "part", "id", "lab", "home").join(size, "id")  # bounded: about 600 bytes a row
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group; a group may go on in the next batch. A pair counts in the first table it shares."""
@@ -200,6 +230,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
             done, rest = rest.slice(0, whole), rest.slice(whole)
             p, q, part, ids, lab_, n, home = (done.column(c).to_numpy(zero_copy_only=False) for c in ("p", "q", "part", "id", "lab", "n", "home"))
             sig, t = np.frombuffer(b"".join(done.column("sig").to_pylist()), np.uint8).reshape(-1, width), done.column("t").to_numpy()
+            matrix, held = sketch_matrix(done.column("sketch").to_pylist())
             found = []
             for a, b in itertools.pairwise([0, *cuts[cuts < whole], whole]):
                 same = p[a] == q[a]
@@ -211,7 +242,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
                     if ok.any():
                         j = o.start + np.flatnonzero(ok)
                         same_min = sig[j] == sig[i]
-                        j, same_min = j[near := same_min.sum(axis=1) >= floor * width], same_min[near]
+                        ok = same_min.sum(axis=1) >= floor * width
+                        ok[ok] = sketches_near(i, j[ok], matrix, held, n, num / den, slack)
+                        j, same_min = j[ok], same_min[ok]
                         in_block = same_min.reshape(len(j), 2, blocks, rows).all(axis=3).argmax(axis=2)
                         found += [(min(ids[i], x), max(ids[i], x)) for x in ids[j[in_block[:, 0] * 256 + in_block[:, 1] == t[i]]]]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
