@@ -12,8 +12,10 @@ hands on one row for each member: its counted links and the smallest member of i
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,13 +113,34 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
     met = met.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("p"), F.greatest(p, F.col("part")).alias("q")))))
     met = met.select(*key, "at.p", "at.q", "part", "home", "id").join(rows.select("id", "copies", "v", "w"), "id")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, t, bucket = len(pdf), int(pdf["t"].iloc[0]), int(pdf["bucket"].iloc[0])
-        x = np.frombuffer(b"".join(pdf["v"])).reshape(n, -1)
-        w = np.frombuffer(b"".join(pdf["w"]), np.int32).reshape(n, tables * (probes + 1))
-        homes, probed = w[:, :tables], w[:, tables:].reshape(n, tables, probes)
-        ids, home, part, copies = (pdf[c].to_numpy() for c in ("id", "home", "part", "copies"))
-        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
+    group = [*key, "p", "q"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; a group may go on in the next batch."""
+        rest: pa.Table | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                rest = pa.Table.from_batches([*(rest.to_batches() if rest is not None else []), batch])
+            if rest is None or not len(rest):
+                continue
+            columns = [rest.column(c).to_numpy(zero_copy_only=False) for c in group]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            whole = len(rest) if batch is None else cuts[-1] if len(cuts) else 0
+            if not whole:
+                continue
+            done, rest = rest.slice(0, whole), rest.slice(whole)
+            of = {c: done.column(c).to_numpy(zero_copy_only=False) for c in ("t", "bucket", "p", "q", "id", "home", "part", "copies")}
+            v, w = done.column("v").to_pylist(), done.column("w").to_pylist()
+            found = [in_group(v[a:b], w[a:b], {c: y[a:b] for c, y in of.items()}) for a, b in itertools.pairwise([0, *cuts[cuts < whole], whole])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["id", "links", "low"])
+
+    def in_group(v: list[bytes], w: list[bytes], of: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The members of one group that have links there: id, links, the smallest member of the component."""
+        n, t, bucket, p, q = len(v), int(of["t"][0]), int(of["bucket"][0]), of["p"][0], of["q"][0]
+        x = np.frombuffer(b"".join(v)).reshape(n, -1)
+        at = np.frombuffer(b"".join(w), np.int32).reshape(n, tables * (probes + 1))
+        homes, probed = at[:, :tables], at[:, tables:].reshape(n, tables, probes)
+        ids, home, part, copies = (of[c] for c in ("id", "home", "part", "copies"))
         links, low = np.zeros(n, np.int64), np.arange(n)
 
         def root(i: int) -> int:
@@ -149,9 +172,10 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
                             low[big] = small
         lows = ids[[root(i) for i in range(n)]]
         touched = (links > 0) | (lows != ids)
-        return pd.DataFrame({"id": ids[touched], "links": links[touched], "low": lows[touched]})
+        return ids[touched], links[touched], lows[touched]
 
-    found = scratch.keep(met.groupBy(*key, "p", "q").applyInPandas(compare, "id long, links long, low long"), "found")
+    met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group)
+    found = scratch.keep(met.mapInArrow(compare, "id long, links long, low long"), "found")
     parts_of = connected_components(scratch, found.select(F.col("id").alias("src"), F.col("low").alias("dst")))
     linked = found.groupBy("id").agg(F.sum("links").alias("links")).join(parts_of, "id", "left").select(F.col("id").alias("rep"), "links", "component")
     out = vec.select("vec_id").join(rep_of, "vec_id", "left").join(linked, "rep", "left")
