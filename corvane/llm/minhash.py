@@ -32,7 +32,7 @@ from corvane.llm.shared import Memo, Scratch, connected_components, mix, word_ha
 
 WORDS = 5
 #: Members of a bucket that are compared with each other in one group of a task.
-BLOCK = 512
+BLOCK = 2048
 #: Shingles of a set in its sketch: a comparison of sets up to this size is exact.
 SKETCH = 128
 #: Bits of the map that tells which documents may be needed; it is broadcast (2 MB) whatever the corpus.
