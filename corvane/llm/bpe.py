@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.shared import Memo
 
+#: Words and chunks that one Python worker remembers, each in two generations.
+MEMO_WORDS = 60_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\s+")
 
@@ -125,7 +127,7 @@ class PrefixBpe:
         pre = spec["pre_tokenizer"]
         parts = pre["pretokenizers"] if pre["type"] == "Sequence" else [pre]
         self.words = regex.compile(next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split"))
-        self.of_word, self.of_chunk = Memo(self._word), Memo(self._chunk)
+        self.of_word, self.of_chunk = Memo(self._word, MEMO_WORDS), Memo(self._chunk, MEMO_WORDS)
 
     def _edge(self, t: int, half: dict[int, int], held: dict[int, list]) -> list[tuple[int, float]]:
         """The tokens at one edge of t's merge tree, each with the rank at which it is merged away inside t."""

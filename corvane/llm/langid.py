@@ -63,7 +63,7 @@ class Summer:
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
-        self.memo = Memo(self._word)
+        self.memo = Memo(self._word, 100_000)
 
     def _word(self, chunk: str) -> tuple[float, ...]:
         b = word_buckets(chunk)
