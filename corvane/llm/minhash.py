@@ -3,8 +3,8 @@
 Two small collections of `rows`-wide minhash blocks, A and B, are drawn for each document. A table of the
 index is a pair (i, j) of blocks and its key the pair (A_i, B_j), so `blocks`**2 tables cost only
 2 * blocks * rows minhashes. A pair of documents of similarity s shares a table unless all A blocks or all
-B blocks differ: it is missed with probability 1 - (1 - (1 - s**rows)**blocks)**2, which is 6e-5 at 0.85
-with the defaults (rows 4, blocks 14) and falls fast above.
+B blocks differ: it is missed with probability 1 - (1 - (1 - s**rows)**blocks)**2, which with the defaults
+(rows 4, blocks 14) is 6e-5 at 0.85 and 1.2e-3 at 0.80, and falls fast above.
 
 Steps, each a Spark job over a keyed shuffle:
 1. one pass over the texts gives each document its set size, a 128-bit digest of its set and the minhashes;
@@ -186,7 +186,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     tensor = tensor.select("id", F.xxhash64("a.key", "b.key").alias("key"), (F.col("a.k") * 256 + F.col("b.k") - blocks).alias("t"))
     counted = tensor.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low")).filter("c > 1")
     buckets = scratch.keep(tensor.join(counted, "key").select("key", "t", "id", "low"), "buckets")
-    size = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig", "sketch")
+    size = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "blocks", "sig", "sketch")
 
     def agree(x: pd.Series, y: pd.Series) -> np.ndarray:
         return np.array([np.count_nonzero(np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)) for p, q in zip(x, y, strict=True)]) / width
@@ -212,10 +212,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     many = open_.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.max("home").alias("any")).filter("lo < hi and any").select("key", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
     rest = open_.join(many, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     with_part = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("p"), F.greatest(p, F.col("part")).alias("q")))
-    rest = rest.withColumn("at", F.explode(with_part)).select("key", "t", "band", "at.p", "at.q", "part", "id", "lab", "home").join(size, "id")  # bounded: about 600 bytes a row
+    rest = rest.withColumn("at", F.explode(with_part)).select("key", "t", "band", "at.p", "at.q", "part", "id", "lab", "home").join(size, "id")  # bounded: about 850 bytes a row
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group; a group may go on in the next batch. A pair counts in the first table it shares."""
+        """Rows come sorted by group; a group may go on in the next batch. A pair counts in the first table it shares, by the block keys that make the tables."""
         rest: pa.Table | None = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
@@ -230,6 +230,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
             done, rest = rest.slice(0, whole), rest.slice(whole)
             p, q, part, ids, lab_, n, home = (done.column(c).to_numpy(zero_copy_only=False) for c in ("p", "q", "part", "id", "lab", "n", "home"))
             sig, t = np.frombuffer(b"".join(done.column("sig").to_pylist()), np.uint8).reshape(-1, width), done.column("t").to_numpy()
+            block = done.column("blocks").combine_chunks().flatten().to_numpy().reshape(-1, 2, blocks)
             matrix, held = sketch_matrix(done.column("sketch").to_pylist())
             found = []
             for a, b in itertools.pairwise([0, *cuts[cuts < whole], whole]):
@@ -241,11 +242,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
                         ok &= part[o] == q[a]
                     if ok.any():
                         j = o.start + np.flatnonzero(ok)
-                        same_min = sig[j] == sig[i]
-                        ok = same_min.sum(axis=1) >= floor * width
+                        ok = (sig[j] == sig[i]).sum(axis=1) >= floor * width
                         ok[ok] = sketches_near(i, j[ok], matrix, held, n, num / den, slack)
-                        j, same_min = j[ok], same_min[ok]
-                        in_block = same_min.reshape(len(j), 2, blocks, rows).all(axis=3).argmax(axis=2)
+                        j = j[ok]
+                        in_block = (block[j] == block[i]).argmax(axis=2)
                         found += [(min(ids[i], x), max(ids[i], x)) for x in ids[j[in_block[:, 0] * 256 + in_block[:, 1] == t[i]]]]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 

@@ -88,3 +88,37 @@ def test_components_against_union_find(spark):
             low[y] = x
     got = connected_components(Scratch(spark, "t"), spark.createDataFrame(edges, "src long, dst long"))
     assert sorted(map(tuple, got.collect())) == sorted((i, root(i)) for i in low)
+
+
+def test_last_step_hands_on_every_pair_that_shares_a_table(spark, monkeypatch):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for _ in range(4):
+        base = [word() for _ in range(200)]
+        for _ in range(50):
+            t = base[:]
+            for _ in range(r.randint(1, 2)):
+                t[r.randrange(len(t))] = word()
+            rows.append((len(rows), " ".join(t)))
+    asked = []
+
+    def confirm(scratch, docs, pairs, num, den):  # no link is found, so that the last step is left with all pairs
+        asked.append([(x.a, x.b) for x in pairs.collect()])
+        return scratch.keep(spark.createDataFrame([], "src long, dst long"), "links")
+
+    monkeypatch.setattr(minhash, "_confirm", confirm)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    minhash.near_duplicates(spark, df, num=80)
+    stars, rest = asked
+    blocks = {x.doc_id: x.blocks for x in minhash.features(df, 4, 14).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    want = set()
+    for a in sets:
+        for b in range(a + 1, a - a % 50 + 50):
+            same = [x == y for x, y in zip(blocks[a], blocks[b], strict=True)]
+            if any(same[:14]) and any(same[14:]) and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                want.add((a, b))
+    assert len(want - set(stars)) > 1500
+    assert sorted(want - set(stars) - set(rest)) == []
+    assert len(rest) == len(set(rest))
