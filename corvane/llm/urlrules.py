@@ -1,8 +1,8 @@
 """URL filters: host, path and pattern rules, looked up by their rarest literal token.
 
 Every rule has literal tokens (runs of letters and digits that a URL it fits must hold as tokens of its own). Each
-rule is filed under the one of them that the fewest URLs of the table hold; a URL fetches the rules filed under its
-tokens, and only those are tried. Trying a rule costs a comparison for host and path rules and a regular expression
+rule is filed under the one of them that the fewest URLs of the table hold, or under each of its alternatives where a
+URL must hold just one of several; a URL fetches the rules filed under its tokens, and only those are tried. Trying a rule costs a comparison for host and path rules and a regular expression
 for pattern rules. URLs don't move; the only shuffle counts how many URLs hold each of the rules' tokens.
 """
 
@@ -44,13 +44,14 @@ class SiteRule:
 class PatternRule:
     """Fits where the regular expression is found in the lower-cased URL; literals are tokens that any such URL holds.
 
-    Without literals the rule is tried on every URL.
+    Any such URL holds one of either, too, where that isn't empty. Without both the rule is tried on every URL.
     """
 
     name: str
     pattern: str
     literals: tuple[str, ...]
     verdict: str
+    either: tuple[str, ...] = ()
 
     @property
     def tokens(self) -> list[str]:
@@ -59,11 +60,11 @@ class PatternRule:
 
 #: The method's own rules for URLs that no site rule fits: list, tracking and script pages. The first by name wins.
 PATTERN_RULES = [
-    PatternRule("ads", r"[/.]ads?[/.]", ("ads",), "block"),
+    PatternRule("ads", r"[/.]ads?[/.]", (), "block", ("ad", "ads")),
     PatternRule("login", r"/login(/|\?|$)", ("login",), "block"),
     PatternRule("page-number", r"[?&]page=[0-9]+", ("page",), "block"),
     PatternRule("search", r"/search[/?]", ("search",), "block"),
-    PatternRule("session", r"[?&](sid|session|phpsessid)=", (), "block"),
+    PatternRule("session", r"[?&](sid|session|phpsessid)=", (), "block", ("sid", "session", "phpsessid")),
 ]
 
 
@@ -87,10 +88,15 @@ def token_counts(urls: DataFrame, tokens: set[str]) -> dict[str, int]:
 
 
 def index(rules: list, counts: dict[str, int]) -> dict[str, list]:
-    """The rules by their rarest token, the first in alphabetical order of those as rare; '' holds those without."""
+    """The rules by their rarest token, the first in alphabetical order of those as rare; '' holds those without.
+
+    A rule without tokens but with alternatives is held by each of them.
+    """
     out: dict[str, list] = {}
     for r in rules:
-        out.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t), default=""), []).append(r)
+        either = () if r.tokens else getattr(r, "either", ())
+        for t in either or [min(r.tokens, key=lambda t: (counts.get(t, 0), t), default="")]:
+            out.setdefault(t, []).append(r)
     return out
 
 

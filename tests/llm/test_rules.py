@@ -40,6 +40,18 @@ def test_turns_and_index(spark, monkeypatch):
     assert list(urlrules.index(SITE_RULES[1:2], {"example": 5, "net": 9, "en": 2})) == ["en"]
 
 
+def test_patterns_count_without_the_index(spark):
+    r = random.Random(8)
+    parts = ["/ad/", "/ads/", "/ads.", ".ad.", "ad", "ads", "/adx/", "?sid=", "&SESSION=", "&phpsessid=", "?xsid=", "/login", "/login/", "?page=3", "&page=x", "/search?", "/search", "a", "h", "."]
+    urls = ["http://h/ad/x", "http://ad.host/x", "http://h.ad.net/x", "http://h/a?PHPSESSID=1", "http://h/ads/?sid=2"]
+    urls += ["http://h" + "".join(r.choice(parts) for _ in range(r.randint(1, 5))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for x in urlrules.judge_urls(spark, df, []).collect():
+        fits = sorted(p.name for p in urlrules.PATTERN_RULES if re.search(p.pattern, x.url.lower()))
+        assert (x.pattern, x.verdict) == ((fits[0], "block") if fits else (None, "allow")), x.url
+    assert "" not in urlrules.index(urlrules.PATTERN_RULES, {})
+
+
 def words(text):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
