@@ -1,45 +1,72 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax.
 
-A word gives its own bucket and those of its character 1- to 4-grams, between marks for its start and end. A text
+A word gives a bucket of its own and those of its character 1- to 4-grams, with a mark at its start and end. A text
 is the average of the embeddings of all its words' buckets, followed by a linear layer and a softmax; both
 matrices are trained by stochastic gradient descent in numpy. A temperature fitted on labelled texts that the
 training leaves out makes the probabilities honest, and on them the rejection threshold is set.
 
-Only letters count: a word is a run of them between white space and other characters. As the model is linear up
-to the softmax, a worker keeps the product of the two matrices and the sum of each word it has seen.
+Only letters count: a word is a run of them and their marks between any other characters. The buckets of a whole
+text are computed at once from its code points, so a text costs the same whether its words are common or not. As
+the model is linear up to the softmax, a prediction needs only the counts of buckets and the product of the matrices.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import Memo
+from corvane.llm.shared import bound_batches, fresh, held
 
-_LETTER = regex.compile(r"\p{L}")
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
 #: The embedding table: buckets, dimensions.
 BUCKETS, DIM = 1 << 15, 16
-#: Words up to this length give n-grams; a longer one gives those of its pieces of this length.
-PIECE = 32
-
-
-def word_buckets(chunk: str) -> np.ndarray:
-    """The buckets of what stands between white space, with repetitions; empty if it has no letter."""
-    out = []
-    for word in _WORD.findall(chunk):
-        for k in range(0, len(word), PIECE):
-            w = f"<{word[k : k + PIECE]}>"
-            out.append(w)
-            out += [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)]
-    return np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in out], np.int64)
+_SHIFT = np.uint32(32 - (BUCKETS - 1).bit_length())
+_STEP, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
+
+
+@cache
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point whether it is a letter, and whether it is a letter or a mark."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    letter = np.array([k == "L" for k in kinds])
+    return letter, letter | np.array([k == "M" for k in kinds])
+
+
+def text_buckets(text: str) -> np.ndarray:
+    """The buckets of a whole text with repetitions; empty if it has no letter."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter, in_word = letters()
+    if not letter[codes].any():
+        return np.empty(0, np.uint32)
+    inside = in_word[codes]
+    # one mark, 0, between words and at both ends
+    codes = np.concatenate(([0], np.where(inside, codes, 0), [0])).astype(np.uint32)
+    keep = codes != 0
+    keep[0] = True
+    keep[1:] |= codes[:-1] != 0
+    codes = codes[keep]
+    word = codes != 0
+    gram, out = codes, []
+    for n in (1, 2, 3, 4):
+        if n > 1:
+            gram = gram[:-1] * _STEP + codes[n - 1 :]
+        # marks stand at the ends of a gram only
+        fits = word if n == 1 else word[:-1] | word[1:] if n == 2 else np.logical_and.reduce([word[k : len(word) - n + 1 + k] for k in range(1, n - 1)])
+        out.append(gram[fits] + np.uint32(n))
+    starts = np.flatnonzero(~word[:-1]) + 1
+    ends = np.append(starts[1:], len(codes))
+    at = np.arange(starts[0], len(codes)) - np.repeat(starts, ends - starts)
+    whole = (codes[starts[0] :] ^ (at.astype(np.uint32) * _SPREAD)) * _STEP
+    out.append(np.add.reduceat(whole ^ (whole >> np.uint32(15)), starts - starts[0], dtype=np.uint32) + np.uint32(5))
+    h = np.concatenate(out)
+    return ((h ^ (h >> np.uint32(15))) * _SPREAD) >> _SHIFT
 
 
 @dataclass
@@ -58,23 +85,20 @@ class LanguageModel:
         return e / e.sum(axis=-1, keepdims=True)
 
 
-class Summer:
-    """The average of the bucket rows of whole texts."""
-
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
-        self.memo = Memo(self._word, 100_000)
+def average(text: str, weights: np.ndarray) -> np.ndarray | None:
+    """The average of the bucket rows of a whole text; None if it has no letter."""
+    b = text_buckets(text)
+    if not len(b):
+        return None
+    total = weights[b].sum(axis=0) if len(b) < BUCKETS // 8 else np.bincount(b, minlength=BUCKETS) @ weights
+    return total / len(b)
 
-    def _word(self, chunk: str) -> tuple[float, ...]:
-        b = word_buckets(chunk)
-        return (*self.weights[b].sum(axis=0).tolist(), float(len(b)))
 
-    def __call__(self, text: str) -> np.ndarray:
-        chunks = text.lower().split()
-        if not chunks:
-            return np.zeros(self.weights.shape[1])
-        total = np.array(list(map(self.memo.__getitem__, chunks))).sum(axis=0)
-        return total[:-1] / max(total[-1], 1.0)
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text and each one's share."""
+    counts = np.bincount(text_buckets(text))
+    b = np.flatnonzero(counts)
+    return b, (counts[b] / max(1, counts.sum())).astype(np.float32)
 
 
 def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 3, reject: float = 0.0005) -> LanguageModel:
@@ -89,21 +113,17 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     y = np.array([names.index(x) for x in langs])
-    memo = Memo(word_buckets)
-    bags = []
-    for t in texts:
-        parts = [memo[c] for c in t.lower().split()]
-        b, n = np.unique(np.concatenate(parts) if parts else np.empty(0, np.int64), return_counts=True)
-        bags.append((b, n / max(1, n.sum())))
+    bags = [bag(t) for t in texts]
     fit, held = order[len(order) // 5 :], order[: len(order) // 5]
-    emb, lin, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(names))), np.zeros(len(names))
+    emb, lin, bias = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
     for epoch in range(epochs):
         lr = rate * (1 - epoch / epochs)
         for k in rng.permutation(fit):
             b, n = bags[k]
             if not len(b):
                 continue
-            h = n @ emb[b]
+            rows = emb[b]
+            h = n @ rows
             z = h @ lin + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -111,8 +131,9 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5
             g = lin @ p
             lin -= lr * np.outer(h, p)
             bias -= lr * 0.1 * p
-            emb[b] -= lr * len(b) ** 0.5 * n[:, None] * g[None, :]
-    weights = emb @ lin
+            rows -= np.outer(n, lr * len(b) ** 0.5 * g).astype(np.float32)
+            emb[b] = rows
+    weights = emb.astype(np.float64) @ lin
     raw = np.array([bags[k][1] @ weights[bags[k][0]] + bias for k in held if len(bags[k][0])]).reshape(-1, len(names))
     truth = np.array([y[k] for k in held if len(bags[k][0])], int)
     if not len(truth):
@@ -131,51 +152,47 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 0.5
     return model
 
 
-def fit_languages(docs: DataFrame, most: int = 4000) -> LanguageModel:
+def fit_languages(docs: DataFrame, most: int = 2000) -> LanguageModel:
     """Train on at most `most` rows of docs(doc_id, text, lang) with a text and a language.
 
     The sample is bounded (`most` is its size, whatever the corpus) and spread over the table by a hash of doc_id;
     it is the only thing that comes to the driver.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.filter("text is not null and lang is not null and doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(most)
-    sample = rows.join(F.broadcast(picked), "doc_id", "left_semi").collect()
-    sample = sorted(sample, key=lambda r: (r.doc_id, r.text, r.lang))
+    picked = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # one row for each id: what comes to the driver stays `most` rows however often an id is repeated
+    sample = rows.join(F.broadcast(picked), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "x.*").collect()
+    sample.sort(key=lambda r: r.doc_id)
     return train([r.text for r in sample], [r.lang for r in sample])
 
 
-_summers: dict[int, Summer] = {}
-
-
 def identify(spark: SparkSession, docs: DataFrame, model: LanguageModel, pred: str = "lang_pred", score: str = "score", passed: str | None = None) -> DataFrame:
     """docs with the predicted language and its probability; no shuffle, whole texts.
 
     A null text and one without a letter are `und` with score 0. passed names a boolean column for the calibrated
     rejection (false: `und`, or a score below the model's threshold). Only `text` is read; the other columns stay
-    as they are and one of the new names takes the place of an old one.
+    as they are, whatever their names, and one of the new names takes the place of an old one.
     """
-    sent = spark.sparkContext.broadcast((model, id(model)))  # BUCKETS x languages numbers, whatever the corpus
+    bound_batches(spark)
+    key = hashlib.sha256(model.weights.tobytes() + repr((model.languages, model.bias.tolist(), model.temperature)).encode()).hexdigest()
+    sent = spark.sparkContext.broadcast(model)  # BUCKETS x languages numbers, whatever the corpus
 
     def run(series: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m, key = sent.value
-        if key not in _summers:
-            _summers.clear()
-            _summers[key] = Summer(m.weights)
-        summed = _summers[key]
+        m = held(("language", key), lambda: sent.value)
         for column in series:
             names, scores = [], []
             for i in range(0, len(column), 512):
-                texts = column.slice(i, 512).to_pylist()
-                given = [bool(t) and _LETTER.search(t) is not None for t in texts]
-                logits = np.array([summed(t) if ok else np.zeros(len(m.languages)) for t, ok in zip(texts, given, strict=True)])
-                p = m.scores(logits)
-                names += [m.languages[k] if ok else "und" for k, ok in zip(p.argmax(axis=1), given, strict=True)]
-                scores += [float(x) if ok else 0.0 for x, ok in zip(p.max(axis=1), given, strict=True)]
+                sums = [average(t, m.weights) if t else None for t in column.slice(i, 512).to_pylist()]
+                p = m.scores(np.array([np.zeros(len(m.languages)) if x is None else x for x in sums]))
+                names += ["und" if x is None else m.languages[k] for x, k in zip(sums, p.argmax(axis=1), strict=True)]
+                scores += [0.0 if x is None else float(y) for x, y in zip(sums, p.max(axis=1), strict=True)]
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["pred", "score"])
 
     found = F.arrow_udf(run, "pred string, score double")(F.col("text").cast("string"))
-    out = docs.select(*docs.columns, found.alias("__language"))
-    out = out.withColumn(pred, F.col("__language.pred")).withColumn(score, F.col("__language.score"))
+    name = fresh([*docs.columns, pred, score, passed or ""], "language")
+    out = docs.select(*docs.columns, found.alias(name))
+    new = {pred: F.col(f"{name}.pred"), score: F.col(f"{name}.score")}
     if passed:
-        out = out.withColumn(passed, (F.col("__language.pred") != "und") & (F.col("__language.score") >= model.threshold))
-    return out.drop("__language")
+        new[passed] = (F.col(f"{name}.pred") != "und") & (F.col(f"{name}.score") >= model.threshold)
+    return out.withColumns(new).drop(name)

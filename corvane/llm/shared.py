@@ -1,29 +1,70 @@
-"""What the operators of this subpackage share: scratch tables, word hashing, components."""
+"""What the operators of this subpackage share: scratch tables, a worker's one kept model, word hashing, components."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Hashable, Iterable
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, where the session doesn't say otherwise.
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. A temporary one takes its place only in local mode, where all is one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold BATCH_BYTES or one row, so that long texts don't fill a worker; a user's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def fresh(columns: Iterable[str], name: str) -> str:
+    """name, or name with underscores before it until no column is called so; Spark ignores case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, build: Callable[[], Any]) -> Any:
+    """What build() gives, kept by this Python worker for its next tasks until another key is asked for.
+
+    One slot for all operators: a worker that Spark passes from stage to stage never holds the models of two.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held[key] = build()
+    return _held[key]
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor costs no recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, tag: str) -> str:
@@ -52,7 +93,7 @@ class Memo(dict):
     Keys longer than `longest` are computed each time, so that memory has a bound.
     """
 
-    def __init__(self, compute: Callable, most: int = 250_000, longest: int = 64):
+    def __init__(self, compute: Callable, most: int = 100_000, longest: int = 64):
         super().__init__()
         self.compute, self.most, self.longest, self.old = compute, most, longest, {}
 
