@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.shared import bound_batches, fresh
+
 #: Rules sent to the executors at once; more are applied in turns of this size.
 TURN = 100_000
 _TOKEN = re.compile("[a-z0-9]+")
@@ -105,13 +107,16 @@ def judge_urls(spark: SparkSession, pages: DataFrame, sites: list[SiteRule], pat
     where no site rule fits, else null) and verdict (the rule's, else the pattern's, else default).
 
     pages(url, ...): a null url or one without :// has an empty host and path and fits no site rule; pattern rules see
-    the whole lower-cased url. Rows are kept as they are, repeated ones too; columns with the new names are replaced.
+    the whole lower-cased url. Rows are kept as they are, repeated ones too; columns with the new names are replaced, any
+    other name stays. A pattern rule's literals must follow from its pattern, as only URLs that hold them are tried.
     """
+    bound_batches(spark)
     found = [("rule", sites[i : i + TURN]) for i in range(0, len(sites), TURN)] + [("pattern", patterns[i : i + TURN]) for i in range(0, len(patterns), TURN)]
     counts = token_counts(pages.select("url"), {t for _, rules in found for r in rules for t in r.tokens}) if found else {}
     out = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     none = F.lit(None).cast("struct<name string, verdict string>")
-    out = out.withColumn("__rule", none).withColumn("__pattern", none)
+    column = {kind: fresh([*out.columns, "rule", "pattern", "verdict"], f"winning_{kind}") for kind in ("rule", "pattern")}
+    out = out.withColumns({c: none for c in column.values()})
 
     def turn(kind: str, rules: list) -> Column:
         sent = spark.sparkContext.broadcast(index(rules, counts))  # TURN rules at most
@@ -137,9 +142,10 @@ def judge_urls(spark: SparkSession, pages: DataFrame, sites: list[SiteRule], pat
                 mask = pa.array([n is None for n in names], pa.bool_())
                 yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(verdicts, pa.string())], names=["name", "verdict"], mask=mask)
 
-        return F.arrow_udf(run, "name string, verdict string")(F.col("url").cast("string"), "host", "path", f"__{kind}")
+        return F.arrow_udf(run, "name string, verdict string")(F.col("url").cast("string"), "host", "path", column[kind])
 
     for kind, rules in found:
-        out = out.withColumn(f"__{kind}", turn(kind, rules))
-    verdict = F.coalesce(F.col("__rule.verdict"), F.col("__pattern.verdict"), F.lit(default))
-    return out.withColumn("rule", F.col("__rule.name")).withColumn("pattern", F.when(F.col("__rule").isNull(), F.col("__pattern.name"))).withColumn("verdict", verdict).drop("__rule", "__pattern")
+        out = out.withColumn(column[kind], turn(kind, rules))
+    site, pattern = F.col(column["rule"]), F.col(column["pattern"])
+    verdict = F.coalesce(site["verdict"], pattern["verdict"], F.lit(default))
+    return out.withColumns({"rule": site["name"], "pattern": F.when(site.isNull(), pattern["name"]), "verdict": verdict}).drop(*column.values())
