@@ -52,23 +52,52 @@ def record_bytes(page_id: int, url: str | None, payload: bytes | None, size: int
     return z.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
+_NAMED = re.compile(r"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*(.*?)[ \t]*")
+
+
+def header_of(data: bytes) -> dict[str, str] | None:
+    """The fields of a decoded member's header by lower-cased name; None unless it begins a valid record.
+
+    A record has a version line and the fields WARC-Type, WARC-Record-ID and Content-Length, and the member holds as many
+    bytes as the last one says. Names are matched in any case, a line that begins with white space goes on with the field
+    before it, and of repeated fields the last counts.
+    """
+    head, end, rest = data.partition(b"\r\n\r\n")
+    version, *lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")
+    fields = {m[1].lower(): m[2] for m in map(_NAMED.fullmatch, lines) if m}
+    if not end or not re.fullmatch(r"WARC/\d+\.\d+", version) or not fields.get("warc-type") or not fields.get("warc-record-id"):
+        return None
+    size = fields.get("content-length", "")
+    return fields if re.fullmatch(r"[0-9]{1,18}", size) and int(size) <= len(rest) else None
+
+
 def parse_record(data: bytes) -> tuple:
-    """(page_id, url, type, refers_to, payload bytes, payload digest, payload) of a decoded member."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:] if ": " in x)
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    page = lambda name: int(fields[name].strip("<>").removeprefix(ID)) if name in fields else None
-    kind = fields["WARC-Type"]
+    """(page_id, url, type, refers_to, payload bytes, payload digest, payload) of a decoded member that header_of accepts.
+
+    Records of any writer: page_id and refers_to are null where the ids aren't those of this module, url where there is no
+    target. The payload is the HTTP body, or the whole block where its content type isn't HTTP. A revisit has no payload;
+    its size is that of its HTTP header, else null, its digest that of its header, else null.
+    """
+    fields = header_of(data)
+    block = data.partition(b"\r\n\r\n")[2][: int(fields["content-length"])]
+    http, _, body = block.partition(b"\r\n\r\n")
+
+    def page(name: str) -> int | None:
+        number = fields.get(name, "").strip("<>").removeprefix(ID)
+        return int(number) if fields.get(name, "").strip("<>").startswith(ID) and re.fullmatch(r"-?[0-9]{1,19}", number) else None
+
+    kind, is_http = fields["warc-type"].lower(), fields.get("content-type", "").lower().startswith("application/http")
     if kind == "revisit":
-        size, digest, payload = int(re.search(rb"(?i)content-length: *(\d+)", http)[1]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), None
+        size, digest, payload = re.search(rb"(?i)(?:^|\r\n)content-length:[ \t]*(\d+)", http), fields.get("warc-payload-digest", ""), None
+        size, digest = int(size[1]) if size else None, digest.removeprefix("sha1:") if digest.startswith("sha1:") else None
     else:
+        payload = body if is_http else block
         size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-    return page("WARC-Record-ID"), fields["WARC-Target-URI"], kind, page("WARC-Refers-To"), size, digest, payload
+    return page("warc-record-id"), fields.get("warc-target-uri"), kind, page("warc-refers-to"), size, digest, payload
 
 
 def records_in(stream, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, decoded bytes) of every member that starts in [start, end) and decodes to a WARC record."""
+    """(offset, decoded bytes) of every member that starts in [start, end) and decodes to a valid WARC record."""
     stream.seek(start)
     buf, base, at = b"", start, start
 
@@ -92,7 +121,7 @@ def records_in(stream, start: int, end: int) -> Iterator[tuple[int, bytes]]:
             used += len(part) - len(z.unused_data)
             if data and not data.startswith(b"WARC/"[: len(data)]):
                 return None
-        return (bytes(data), at + used) if data.startswith(b"WARC/") else None
+        return (bytes(data), at + used) if header_of(bytes(data)) is not None else None
 
     while at < end:
         i = buf.find(MAGIC, at - base)
@@ -156,7 +185,8 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = 16 <
     """The records of files(path, bytes), read in ranges of split_bytes.
 
     Returns page_id, url, record_type, refers_to, payload_bytes, payload_digest (lower-case hex SHA-1), payload
-    (null for revisits, or everywhere with payloads=False). Bytes that are no member of a record are passed over.
+    (null for revisits, or everywhere with payloads=False). Bytes that are no member of a valid record are passed over.
+    Every record gives a row, those of other writers and types too (see parse_record for what is null then).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,10 +202,10 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = 16 <
                         if not payloads:
                             rows[-1] = (*rows[-1][:-1], None)
                         if held > 8 << 20:
-                            yield pd.DataFrame(rows, columns=names).astype({"refers_to": "Int64"})
+                            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
                             rows, held = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=names).astype({"refers_to": "Int64"})
+                    yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
     parts = files.filter("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"), "bytes").select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"))
     return parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, RECORD)
