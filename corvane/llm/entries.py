@@ -99,7 +99,14 @@ reach(id, low) AS (
   SELECT a, a FROM both_ways UNION SELECT l.b, r.low FROM reach r JOIN both_ways l ON l.a = r.id WHERE r.low < l.b
 ), component AS (SELECT id, min(low) AS low FROM reach GROUP BY id)"""
 
-_BASE = [(p.split(), label) for p, label in licenses.BASE]
+def _notice_sql(label: str, text: str, keys: tuple[str, ...]) -> str:
+    """Every start from which a notice's key phrases stand, with how many of its words do; no index."""
+    words = text.split()
+    at = [(next(i for i in range(len(words)) if words[i : i + len(k)] == k), k) for k in (k.split() for k in keys)]
+    o, n = at[0][0], len(words)
+    stand = " AND ".join(f"w[i - {o - k} + 1 : i - {o - k} + {len(x)}] = {x!r}" for k, x in at)
+    return f"""SELECT doc_id, '{label}' AS label, len(list_filter(range({n}), lambda k: w[i - {o} + k + 1] = {words!r}[k + 1])) AS same, {n} AS n
+  FROM word WHERE w[i + 1] = '{at[0][1][0]}' AND i >= {o} AND i - {o} + {n} <= len(w) AND {stand}"""
 
 
 def _license_sql() -> str:
@@ -112,12 +119,14 @@ phrase(p, words) AS (VALUES {rows}),
 label(label, needs, base) AS (VALUES {labels}),
 word AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM doc),
 place AS (SELECT doc_id, p, i FROM word JOIN phrase ON w[i + 1] = words[1] WHERE w[i + 1 : i + len(words)] = words),
-held AS (SELECT doc_id, list(DISTINCT p) AS ps, count(*) AS n FROM place GROUP BY doc_id),
-given AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(label, ',' ORDER BY label) AS labels
-  FROM held JOIN label ON list_has_all(ps, needs) GROUP BY doc_id),
+held AS (SELECT doc_id, list(DISTINCT p) AS ps FROM place GROUP BY doc_id),
+notice AS (SELECT doc_id, label, max(same) / any_value(n)::DOUBLE AS share FROM ({" UNION ALL ".join(_notice_sql(*x) for x in licenses.NOTICES)}) WHERE same * 100 >= {licenses.SHARE} * n GROUP BY doc_id, label),
+given AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share
+  FROM (SELECT doc_id, label, base, 1.0::DOUBLE AS share FROM held JOIN label ON list_has_all(ps, needs) UNION ALL SELECT doc_id, label, false, share FROM notice) GROUP BY doc_id),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place WHERE p IN ({", ".join(f"'{p}'" for p, _ in licenses.BASE)}) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
-  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(n, 0) / (coalesce(n, 0) + 1)::DOUBLE AS score
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN ps IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
 FROM doc d LEFT JOIN held USING (doc_id) LEFT JOIN given USING (doc_id) LEFT JOIN base USING (doc_id)"""
 
 
@@ -153,7 +162,7 @@ WITH u AS (SELECT page_id, lower(coalesce(url, '')) AS low,
 r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 f AS (SELECT u.*, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS k
   FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(low, '[/.]ads?[/.]') AND regexp_matches(low, '(^|[^a-z0-9])ads([^a-z0-9]|$)')
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(low, '[/.]ads?[/.]')
   OR regexp_matches(low, '/login(/|\?|$)') OR regexp_matches(low, '[?&]page=[0-9]+') OR regexp_matches(low, '/search[/?]')
   OR regexp_matches(low, '[?&](sid|session|phpsessid)=') THEN 'block' ELSE 'allow' END) AS verdict FROM f WHERE k = 1""",
     "op9_licenses": _license_sql(),
