@@ -6,8 +6,8 @@ consecutive words of an item, or a whole shorter item) ends at a word exactly if
 as long and, for a shorter item, the item itself is a suffix of the match. Hit words are marked; spans of them that
 exceed a length, and documents that exceed a coverage, are removed.
 
-Items are sent to the executors in shards of bounded size; a larger benchmark streams the documents through each
-shard's automaton in the same pass. Documents don't move.
+Items are sent to the executors in lots of bounded size, each in automata of bounded size. Documents don't move; a
+benchmark of more than one lot is a pass over them for each lot.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.shared import Scratch, bound_batches, fresh, held
+
 WINDOW = 10
 #: Words of the items in one automaton, and the most that are sent to the executors in one go.
 SHARD_WORDS, SENT_WORDS = 200_000, 2_000_000
@@ -165,36 +167,69 @@ class _Numbers(dict):
         return -1
 
 
-_built: dict[str, Shards] = {}
-
-
-def _shards(lots: list, window: int) -> list[Shards]:
-    """The automata of the lots; a worker keeps those of a benchmark that is a single lot."""
-    if len(lots) != 1:
-        return [Shards.build(x.value, window) for x in lots]
-    key = hashlib.sha256(repr((window, lots[0].value)).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _built:
-        _built.clear()
-        _built[key] = Shards.build(lots[0].value, window)
-    return [_built[key]]
-
-
-def load_items(benchmark: DataFrame) -> list[list[tuple[str, list[str]]]]:
-    """The normalised items of benchmark(item_id, text, ...) in lots of at most SENT_WORDS words (or one item).
+def load_items(benchmark: DataFrame) -> Iterator[list[tuple[str, list[str]]]]:
+    """The normalised items of benchmark(item_id, text, ...) in lots of at most SENT_WORDS words (or one item), one at a time.
 
     Items without words and null texts are left out, a null item_id is the item ''. The benchmark streams to the
-    driver one partition at a time and leaves it in lots of bounded size, each of which is applied in turn.
+    driver one partition at a time, and the driver holds one lot.
     """
-    lots, now, held = [], [], 0
+    lot, words_held = [], 0
     for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("string").alias("t")).orderBy("i", "t").toLocalIterator():
         words = item_words(r.t)
+        if lot and words_held + len(words) > SENT_WORDS:
+            yield lot
+            lot, words_held = [], 0
         if words:
-            now.append((r.i, words))
-            held += len(words)
-        if held >= SENT_WORDS:
-            lots.append(now)
-            now, held = [], 0
-    return [*lots, now] if now else lots
+            lot.append((r.i, words))
+            words_held += len(words)
+    if lot:
+        yield lot
+
+
+_FOUND = "n_words long, n_hit long, hit binary, items array<string>"
+
+
+def _scanned(spark: SparkSession, docs: DataFrame, lot: list, window: int, name: str, before: bool) -> DataFrame:
+    """docs with the column name (_FOUND) for one lot, added to what it has of the lots before."""
+    sent = spark.sparkContext.broadcast(lot)  # SENT_WORDS words at most
+    key = hashlib.sha256(repr((window, lot)).encode("utf-8", "surrogatepass")).hexdigest()
+
+    def run(series: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        shards = held(("items", key), lambda: Shards.build(sent.value, window))
+        for texts, was in series:
+            n, h, bits, names = [], [], [], []
+            for t, old in zip(texts, was, strict=True):
+                words, old = item_words(t.as_py()), old.as_py()
+                hit, items = np.zeros(len(words), bool), set()
+                if old and old["n_hit"]:
+                    hit, items = np.unpackbits(np.frombuffer(old["hit"], np.uint8), count=len(words)).astype(bool), set(old["items"])
+                shards.scan(words, hit, items)
+                n.append(len(words))
+                h.append(int(np.count_nonzero(hit)))
+                bits.append(np.packbits(hit).tobytes() if h[-1] else b"")
+                names.append(sorted(items))
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(bits, pa.binary()), pa.array(names, pa.list_(pa.string()))], names=["n_words", "n_hit", "hit", "items"])
+
+    old = F.col(name) if before else F.lit(None).cast(f"struct<{_FOUND.replace(' ', ':').replace(',:', ',')}>")
+    return docs.withColumn(name, F.arrow_udf(run, _FOUND)(F.col("text").cast("string"), old))
+
+
+def marked(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, str]:
+    """docs with a struct of what was found in each text, and the name of that column.
+
+    A benchmark of one lot is applied as the result is read. More lots are a job each: docs with what was found so far
+    are written to the shared folder and read again, so that no task, executor or driver holds more than one lot.
+    """
+    bound_batches(spark)
+    name, lots = fresh(docs.columns, "found"), load_items(benchmark)
+    out, scratch, last = _scanned(spark, docs, next(lots, []), window, name, False), None, None
+    for lot in lots:
+        scratch = scratch or Scratch(spark, "hits")
+        kept = scratch.keep(out, "lot")
+        if last is not None:
+            scratch.drop(last)
+        last, out = kept, _scanned(spark, kept, lot, window, name, True)
+    return out, name
 
 
 def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -202,54 +237,31 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
 
     n_hit counts words inside an occurrence of a window, n_items the items with occurring windows, items_sha256 is the
     lower-case hex digest of their ids, sorted as strings and joined by commas. A null text has no words; an empty
-    benchmark hits nothing; repeated items count as one id; other columns are ignored.
+    benchmark hits nothing; repeated items count as one id; repeated rows give a row each; other columns are ignored.
     """
-    lots = [spark.sparkContext.broadcast(x) for x in load_items(benchmark)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = _shards(lots, window)
-        for batch in batches:
-            n, h, k, sha = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                words = item_words(t)
-                hit, items = _scan(sets, words)
-                n.append(len(words))
-                h.append(int(hit.sum()))
-                k.append(len(items))
-                sha.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in h], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def _scan(shards: list[Shards], words: list[str]) -> tuple[np.ndarray, set[str]]:
-    hit, items = np.zeros(len(words), bool), set()
-    for x in shards:
-        x.scan(words, hit, items)
-    return hit, items
+    out, name = marked(spark, docs.select("doc_id", "text"), benchmark, window)
+    x = F.col(name)
+    return out.select("doc_id", x["n_words"].alias("n_words"), x["n_hit"].alias("n_hit"), F.size(x["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(x["items"], ","), 256).alias("items_sha256"), (x["n_hit"] > 0).alias("contaminated"))
 
 
 def remove_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, longest_span: int = 0, coverage: float = 0.5) -> DataFrame:
     """docs without benchmark passages: spans of more than longest_span hit words are cut from the text (words of it and
-    what stands between them), documents of which more than coverage of the words are hit go. Other columns stay; null
-    texts stay null.
+    what stands between them), documents of which more than coverage of the words are hit go. Other columns stay, whatever
+    their names; null texts and texts without hits stay as they are.
     """
-    lots = [spark.sparkContext.broadcast(x) for x in load_items(benchmark)]
-
-    def run(series: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        sets = _shards(lots, window)
-        for column in series:
-            texts, shares = [], []
-            for t in column.to_pylist():
-                words = item_words(t)
-                hit, _ = _scan(sets, words)
-                shares.append(float(hit.mean()) if len(words) else 0.0)
-                texts.append(_cut(t, hit, longest_span) if hit.any() else t)
-            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(shares, pa.float64())], names=["text", "share"])
-
-    clean = F.arrow_udf(run, "text string, share double")(F.col("text").cast("string"))
-    out = docs.withColumn("__clean", clean).filter(F.col("__clean.share") <= coverage)
-    return out.withColumn("text", F.col("__clean.text")).drop("__clean")
+    out, name = marked(spark, docs, benchmark, window)
+    x = F.col(name)
+
+    def run(series: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, bits, counts in series:
+            cut = []
+            for t, hit, n in zip(texts, bits, counts, strict=True):
+                cut.append(_cut(t.as_py(), np.unpackbits(np.frombuffer(hit.as_py(), np.uint8), count=n.as_py()).astype(bool), longest_span) if t.is_valid else None)
+            yield pa.array(cut, pa.string())
+
+    out = out.filter(x["n_hit"] <= coverage * x["n_words"])
+    clean = F.arrow_udf(run, "string")(F.when(x["n_hit"] > 0, F.col("text").cast("string")), x["hit"], x["n_words"])
+    return out.withColumn("text", F.coalesce(clean, "text")).drop(name)
 
 
 def _cut(text: str, hit: np.ndarray, longest: int) -> str:
