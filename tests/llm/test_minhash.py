@@ -122,3 +122,24 @@ def test_last_step_hands_on_every_pair_that_shares_a_table(spark, monkeypatch):
     assert len(want - set(stars)) > 1500
     assert sorted(want - set(stars) - set(rest)) == []
     assert len(rest) == len(set(rest))
+
+
+def test_of_equal_ids_the_largest_set_counts(spark):
+    """Only the row that counts takes part: what links is what is returned."""
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "a b c"), (1, long), (2, long + " end"), (3, "a b c"), (4, None), (4, "x"), (4, "x")]
+    assert run(spark, rows) == {1: (56, 1, True), 2: (57, 1, False), 3: (1, 3, True), 4: (1, 4, True)}
+
+
+def test_recall_by_similarity(spark):
+    """Pairs planted at known similarities from the threshold up are all found."""
+    r = random.Random(8)
+    rows, i = [], 0
+    for _ in range(150):
+        base = [f"v{r.randrange(10**9)}" for _ in range(400)]
+        other = base[:]
+        for k in r.sample(range(0, 400, 5), r.randint(1, 6)):
+            other[k] = f"u{r.randrange(10**9)}"
+        rows += [(i, " ".join(base)), (i + 1, " ".join(other))]
+        i += 2
+    assert run(spark, rows) == brute(rows)

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from corvane.llm import decontam, licenses, urlrules
 from corvane.llm.entries import SITE_RULES
 
@@ -27,7 +29,7 @@ def test_url_rules(spark):
         fits = [s for s in SITE_RULES if (host == s.host or host.endswith("." + s.host)) and path.startswith(s.path)]
         best = max(fits, key=lambda s: len(s.name), default=None)
         assert (r.host, r.path, r.rule) == (host, path, best.name if best else None), u
-        own = [p for p in urlrules.PATTERN_RULES if re.search(p.pattern, u.lower()) and all(t in re.findall("[a-z0-9]+", u.lower()) for t in p.literals)]
+        own = [p for p in urlrules.PATTERN_RULES if re.search(p.pattern, u.lower())]
         assert r.verdict == (best.verdict if best else "block" if own else "allow"), u
     assert urlrules.judge_urls(spark, df.filter("false"), SITE_RULES).count() == 0
     assert {r.verdict for r in urlrules.judge_urls(spark, df, [], []).collect()} == {"allow"}
@@ -61,6 +63,14 @@ def test_licenses(spark):
     vocabulary = "cc by nc sa general public license all rights reserved gnu version 3 mit apache 2 0 word é".split()
     texts = [None, "", "CC-BY", "cc by", "All rights\nreserved. ALL RIGHTS RESERVED", "ccby", "licensed under the GNU General Public License version 3", "by cc", "a " * 50_000 + "cc by"]
     texts += [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 60))) for _ in range(200)]
+    for _, notice, _ in licenses.NOTICES:
+        for changed in (0, 3, 6, 9, 12):
+            copy = notice.split()
+            for k in r.sample(range(len(copy)), min(changed, len(copy))):
+                copy[k] = "zzz"
+            texts.append(" ".join([*("lead " * r.randint(0, 9)).split(), *copy, "tail"]))
+        texts.append(notice[: len(notice) // 2])
+        texts.append("x " + notice + " " + notice)
     got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, w int")).collect()}
     for i, t in enumerate(texts):
         w = words(t)
@@ -68,8 +78,17 @@ def test_licenses(spark):
         starts = [k for p, _ in licenses.BASE for k in at(p)]
         base = sorted({lab for p, lab in licenses.BASE if at(p)})
         own = {lab for lab, ps in licenses.TEMPLATES if all(at(p) for p in ps)}
-        n = sum(len(at(p)) for p in {*[p for p, _ in licenses.BASE], *[p for _, ps in licenses.TEMPLATES for p in ps]})
-        want = (len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(sorted({*base, *own})), n / (n + 1))
+        phrase = any(at(p) for p in {*[p for p, _ in licenses.BASE], *[p for _, ps in licenses.TEMPLATES for p in ps]})
+        shares = {}
+        for label, notice, keys in licenses.NOTICES:
+            x = notice.split()
+            place = lambda p: next(k for k in range(len(x)) if x[k : k + len(p.split())] == p.split())  # noqa: E731, B023
+            for k in range(len(w) - len(x) + 1):
+                same = sum(a == b for a, b in zip(w[k:], x, strict=False))
+                if same * 100 >= 80 * len(x) and all(k + place(p) in at(p) for p in keys):
+                    shares[label] = max(shares.get(label, 0), same / len(x))
+        own |= shares.keys()
+        want = (len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(sorted({*base, *own})), 1.0 if phrase else max(shares.values(), default=0.0))
         g = got[i]
         assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels, g.labels, g.score) == want, t
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -91,14 +110,16 @@ def brute_hits(text, items):
 
 def test_decontamination(spark, monkeypatch):
     r = random.Random(6)
-    for shard in (200_000, 25):
+    for shard, sent in ((200_000, 2_000_000), (25, 2_000_000), (25, 45)):
         monkeypatch.setattr(decontam, "SHARD_WORDS", shard)
+        monkeypatch.setattr(decontam, "SENT_WORDS", sent)
         items = [(k, " ".join(r.choice("abc") for _ in range(r.choice([0, 1, 2, 3, 5, 9, 10, 11, 14, 30])) if k > 3)) for k in range(14)] + [(90, None), (91, "!?"), (13, "a b c a b c a b c a b c"), (7, "É b c")]
         items[5] = (5, "z")
         texts = [None, "", "A-B c", " ".join("abc" * 20), "é b c É B C"] + [" ".join(r.choice("abcd") for _ in range(r.randint(0, 80))) for _ in range(60)]
         texts += [f"q q {t} q" for _, t in items if t]
         docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, hit int")
         bench = spark.createDataFrame(items, "item_id long, text string")
+        assert (len(list(decontam.load_items(bench))) > 2) == (sent == 45)
         got = {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in decontam.hits(spark, docs, bench).collect()}
         for i, t in enumerate(texts):
             assert got[i] == brute_hits(t, items), t
@@ -108,6 +129,8 @@ def test_decontamination(spark, monkeypatch):
 
 def test_removal(spark):
     item = "one two three four five six seven eight nine ten eleven"
-    docs = spark.createDataFrame([(1, f"Before it. {item.upper()}! After it, and so on and so forth, more words than the rest."), (2, item), (3, None), (4, "clean")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in decontam.remove_hits(spark, docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    docs = spark.createDataFrame([(1, f"Before it. {item.upper()}! After it, and so on and so forth, more words than the rest."), (2, item), (3, None), (4, "clean")], "doc_id long, text string").withColumn("found", F.lit("mine"))
+    out = decontam.remove_hits(spark, docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert out.columns == docs.columns and out.filter("found <> 'mine'").count() == 0
+    got = {r.doc_id: r.text for r in out.collect()}
     assert got == {1: "Before it. ! After it, and so on and so forth, more words than the rest.", 3: None, 4: "clean"}

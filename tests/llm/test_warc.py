@@ -49,3 +49,19 @@ def test_false_magic_and_damage():
     assert [x[1][0] for x in got] == [1, 2] and got[1][1][2:6] == ("revisit", 1, 5, "d")
     assert [x[0] for x in warc.records_in(io.BytesIO(data), got[0][0] + 1, len(data))] == [got[1][0]]
     assert list(warc.records_in(io.BytesIO(b""), 0, 10)) == []
+
+
+def member(head, block):
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_records_of_other_writers():
+    uuid = "<urn:uuid:00000000-0000-0000-0000-000000000001>"
+    info = member(["WARC/1.0", "WARC-Type: warcinfo", f"WARC-Record-ID: {uuid}", "Content-Length: 4"], b"a: b")
+    lower = member(["WARC/1.1", "warc-type:RESPONSE", f"warc-record-id:{uuid}", "content-type:application/http", "warc-target-uri:  http://x/", "content-length:22"], b"HTTP/1.1 200 OK\r\n\r\nxyz")
+    short = member(["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: {uuid}", "Content-Length: 999"], b"cut")
+    nothing = [member(["WARC/1.1", "WARC-Type: response", "Content-Length: 1"], b"x"), member(["WARC/x", "WARC-Type: a", f"WARC-Record-ID: {uuid}", "Content-Length: 1"], b"x"), member(["WARC/1.1", "WARC-Type: a", f"WARC-Record-ID: {uuid}", "Content-Length: -1"], b"x"), gzip.compress(b"WARC/1.1")]
+    data = info + short + b"".join(nothing) + lower
+    got = [warc.parse_record(d) for _, d in warc.records_in(io.BytesIO(data), 0, len(data))]
+    assert got[0] == (None, None, "warcinfo", None, 4, hashlib.sha1(b"a: b").hexdigest(), b"a: b")
+    assert got[1] == (None, "http://x/", "response", None, 3, hashlib.sha1(b"xyz").hexdigest(), b"xyz") and len(got) == 2
