@@ -15,15 +15,17 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import Memo
+from corvane.llm.shared import Memo, bound_batches, held
 
-#: Words and chunks that one Python worker remembers, each in two generations.
-MEMO_WORDS = 60_000
+#: Words and chunks that one Python worker remembers by default, each in two generations (about 1.4 KB for each of them
+#: in all), and pairs of tokens whose compatibility it remembers.
+MEMO_WORDS, MEMO_PAIRS = 100_000, 200_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\s+")
 
@@ -92,7 +94,7 @@ class Automaton:
 class PrefixBpe:
     """Encoder and decoder for one vocabulary file in the tokenizers library's JSON form."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, memo_words: int = MEMO_WORDS):
         spec = json.loads(spec)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -127,7 +129,7 @@ class PrefixBpe:
         pre = spec["pre_tokenizer"]
         parts = pre["pretokenizers"] if pre["type"] == "Sequence" else [pre]
         self.words = regex.compile(next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split"))
-        self.of_word, self.of_chunk = Memo(self._word, MEMO_WORDS), Memo(self._chunk, MEMO_WORDS)
+        self.of_word, self.of_chunk = Memo(self._word, memo_words), Memo(self._chunk, memo_words)
 
     def _edge(self, t: int, half: dict[int, int], held: dict[int, list]) -> list[tuple[int, float]]:
         """The tokens at one edge of t's merge tree, each with the rank at which it is merged away inside t."""
@@ -144,7 +146,7 @@ class PrefixBpe:
 
         Of equal ranks the one further left comes first: x's own before the border's, the border's before y's.
         """
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > MEMO_PAIRS:
             self.fits.clear()
         fits, pair = True, self.pair
         starts = self._edge(y, self.left, self.starts)
@@ -232,40 +234,40 @@ class PrefixBpe:
         return " ".join(map(self.name.__getitem__, ids))
 
 
-_models: dict[str, PrefixBpe] = {}
-
-
-def model(spec: str) -> PrefixBpe:
+def model(spec: str, memo_words: int = MEMO_WORDS) -> PrefixBpe:
     """One model for each vocabulary in a worker process."""
-    if spec not in _models:
-        _models.clear()
-        _models[spec] = PrefixBpe(spec)
-    return _models[spec]
+    return held(("bpe", memo_words, hashlib.sha256(spec.encode("utf-8", "surrogatepass")).digest()), lambda: PrefixBpe(spec, memo_words))
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, ids: bool = False) -> DataFrame:
+def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, ids: bool = False, decoded: bool = False, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Encode and decode every whole text; no shuffle.
 
     docs(doc_id, text, ...): a null text is empty and an empty one has no ids; other columns are ignored, each
-    row gives a row. Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space) and
-    decoded_sha256 (of the decoded text), and with ids=True also the ids (array<int>) and the decoded text.
+    row gives a row, also one with a null doc_id, which stays null. Returns doc_id, n_tokens, ids_sha256 (of the decimal
+    ids joined by a space) and decoded_sha256 (of the decoded text), with ids=True also the ids (array<int>) and with
+    decoded=True the decoded text. memo_words bounds what a worker remembers; results don't depend on it.
     """
     from pathlib import Path
 
+    bound_batches(spark)
     spec = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())  # the vocabulary: 2 MB whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(spec.value)
+        m = model(spec.value, memo_words)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
-                got = [m.encode(t or "") for t in part.column(1).to_pylist()]
+            for i in range(0, len(batch), 64):
+                part = batch.slice(i, 64)
+                got = [m.encode(t.as_py() or "") for t in part.column(1)]
                 cols = [part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([sha(g[1]) for g in got], pa.string()), pa.array([sha(g[2]) for g in got], pa.string())]
                 if ids:
-                    cols += [pa.array([list(map(int, g[1].split())) for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())]
+                    of_text = [np.array(g[1].split(), np.int32) for g in got]
+                    offsets = np.concatenate(([0], np.cumsum([len(x) for x in of_text]))).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(of_text))))
+                if decoded:
+                    cols.append(pa.array([g[2] for g in got], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
     names = [c.split()[0] for c in schema.split(", ")]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

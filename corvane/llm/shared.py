@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable, Iterable
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between the JVM and a Python worker, where the session doesn't say otherwise.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,12 +55,20 @@ def held(key: Hashable, build: Callable[[], Any]) -> Any:
     """
     if key not in _held:
         _held.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _held[key] = build()
+        give_back()
     return _held[key]
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system, as far as its allocators let it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor costs no recomputation."""
 
@@ -110,11 +119,6 @@ class Memo(dict):
         return value
 
 
-def word_hashes() -> Memo:
-    """64-bit hash of each word, the same in every process."""
-    return Memo(lambda word: xxhash.xxh64_intdigest(word, 0x5EED))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values: a bijection in which every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(31))
@@ -124,6 +128,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+#: Bytes of a text that are worked on at once; a cut is made between words only.
+PIECE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+#: Of a byte whether it is ASCII white space.
+IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: A random number for each place in a word, modulo 64, and byte; 0 for white space.
+_AT = np.where(IS_SPACE, 0, mix(np.arange(64 * 256, dtype=np.uint64) + np.uint64(0x5EED << 32)).reshape(64, 256)).ravel()
+
+
+def pieces(data: bytes) -> Iterator[bytes]:
+    """data cut at white space into pieces of PIECE bytes, or more where a word is longer."""
+    i = 0
+    while len(data) - i > PIECE and (m := _SPACE.search(data, i + PIECE)):
+        yield data[i : m.start()]
+        i = m.start()
+    yield data[i:] if i else data
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word between ASCII white space, the same in every process.
+
+    It is the sum of the random numbers of its bytes at their places, each times an odd number that counts blocks of 64 places.
+    """
+    out = []
+    for piece in pieces(data):
+        b = np.frombuffer(piece, np.uint8)
+        word = ~IS_SPACE[b]
+        starts = np.flatnonzero(word[1:] & ~word[:-1]) + 1
+        if len(word) and word[0]:
+            starts = np.concatenate(([0], starts))
+        if len(starts):
+            at = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
+            values = _AT.take((at & 63) << 8 | b[starts[0] :])
+            if at.max() > 63:
+                values = values * ((at >> 6 << 1) + 1).astype(np.uint64)
+            out.append(np.add.reduceat(values, starts - starts[0]))
+    return mix(np.concatenate(out)) if out else np.empty(0, np.uint64)
+
+
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Components of an undirected graph.
 

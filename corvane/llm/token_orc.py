@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import byte_symbols
-from corvane.llm.shared import Memo
+from corvane.llm.shared import Memo, bound_batches, held
 
 #: Words whose ids one Python worker remembers, in two generations.
 MEMO_WORDS = 500_000
@@ -95,15 +95,9 @@ class PieceEncoder:
         return self._encode(first) + b"".join(map(self.words.__getitem__, rest))
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(spec: str) -> PieceEncoder:
     """One encoder for each tokenizer in a worker process."""
-    if spec not in _encoders:
-        _encoders.clear()
-        _encoders[spec] = PieceEncoder(spec)
-    return _encoders[spec]
+    return held(("pieces", spec), lambda: PieceEncoder(spec))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, path: str, files: int | None = None, stripe_mb: int = 16) -> DataFrame:
@@ -115,6 +109,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_
     """
     from pathlib import Path
 
+    bound_batches(spark)
     spec = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())  # the vocabulary: 2 MB whatever the corpus
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
