@@ -22,31 +22,33 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import Memo, Scratch, connected_components, mix, word_hashes
+from corvane.llm.shared import Scratch, connected_components, mix, word_hashes
 
 WORDS = 5
 #: Members of a bucket that are compared with each other in one group of a task.
 BLOCK = 2048
 #: Shingles of a set in its sketch: a comparison of sets up to this size is exact.
 SKETCH = 128
+#: Shingles of the sets that a task keeps while it confirms pairs.
+KEPT = 1 << 19
 #: Bits of the map that tells which documents may be needed; it is broadcast (2 MB) whatever the corpus.
 MAP_BITS = 1 << 24
-_FEATURES = "doc_id long, n_shingles long, set_hi long, set_lo long, blocks array<long>, sig binary, sketch binary"
+#: Pairs that a task gathers before it hands them on.
+PAIRS = 65_536
+_FEATURES = "doc_id long, text_key long, n_shingles long, set_hi long, set_lo long, blocks array<long>, sig binary, sketch binary"
 _MULT = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
 
 
-def shingle_set(text: str | None, memo: Memo) -> np.ndarray:
+def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit shingles; A-Z lower-cased, words between ASCII white space."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text.encode("utf-8", "surrogatepass").lower()) if text else np.empty(0, np.uint64)
+    if not len(h):
+        return h
     if len(h) < WORDS:
         return mix((h * _MULT[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
     n = len(h) - WORDS + 1
@@ -75,11 +77,11 @@ def features(docs: DataFrame, rows: int, blocks: int, seed: int = 11) -> DataFra
     mult, fold = multipliers(2 * rows * blocks, seed), np.array([pow(_MULT[0].item(), k + 1, 1 << 64) for k in range(rows)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, number = word_hashes(), np.arange(2 * blocks, dtype=np.uint64)
+        number = np.arange(2 * blocks, dtype=np.uint64)
         for batch in batches:
             n, hi, lo, keys, sig, sketch = [], [], [], [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), memo)
+            for text in batch.column(2):
+                s = shingle_set(text.as_py())
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 hi.append((d >> 64) - (1 << 63))
@@ -88,9 +90,10 @@ def features(docs: DataFrame, rows: int, blocks: int, seed: int = 11) -> DataFra
                 sig.append(low.astype(np.uint8).tobytes())
                 sketch.append((s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
                 keys.append(mix((low.reshape(-1, rows) * fold).sum(axis=1, dtype=np.uint64) + number).view(np.int64) if len(s) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "set_hi", "set_lo", "blocks", "sig", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_hi", "set_lo", "blocks", "sig", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _FEATURES)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, _FEATURES)
 
 
 def _may_be_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -131,23 +134,26 @@ def _confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame, num: int, den:
     """Of pairs(a, b), the links: den * intersection >= num * union over the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, a_id, a_set = word_hashes(), {}, None, None
+        kept, room, a_id, a_set = {}, KEPT, None, None
         for batch in batches:
             src, dst = [], []
-            for a, ta, b, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, ta, b, tb in zip(*batch.columns, strict=True):
+                a, b = a.as_py(), b.as_py()
                 if a != a_id:
-                    a_id, a_set = a, shingle_set(ta, memo)
-                if (y := held.get(b)) is None:
-                    if len(held) > 256:
-                        held.clear()
-                    held[b] = y = shingle_set(tb, memo)
+                    a_id, a_set = a, shingle_set(ta.as_py())
+                if (y := kept.get(b)) is None:
+                    y = shingle_set(tb.as_py())
+                    if room < len(y):
+                        kept, room = {}, KEPT
+                    kept[b] = y
+                    room -= len(y)
                 both = len(np.intersect1d(a_set, y, assume_unique=True))
                 if den * both >= num * (len(a_set) + len(y) - both):
                     src.append(a)
                     dst.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"))
+    text = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = scratch.keep(ids, "ids")
     needed = scratch.keep(_may_be_in(text, ids).join(ids, "id", "left_semi"), "texts")
@@ -163,18 +169,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     docs(doc_id, text, ...); other columns are ignored, whatever their names. Returns one row for each doc_id:
     doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id). A null or blank
     text has 0 shingles and is linked with nothing; fewer than five words are one shingle; rows with a null
-    doc_id are dropped; of rows with an equal doc_id the one with the largest set counts. Pairs are looked for
-    on minhashes that agree in at least num/den minus `slack` standard deviations and confirmed on full sets.
+    doc_id are dropped; of rows with an equal doc_id the one with the largest set counts (of those as large the one
+    with the largest digest) and the others take no part. Pairs are looked for on minhashes that agree in at least
+    num/den minus `slack` standard deviations and confirmed on full sets.
     """
     scratch = Scratch(spark, "minhash")
-    docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").withColumn("text_key", F.xxhash64("text"))
     feats = scratch.keep(features(docs, rows, blocks), "features")
     width = 2 * rows * blocks
     floor = num / den - slack * float(np.sqrt(num / den * (1 - num / den) / width))
-    # equal sets: one representative each
-    reps = feats.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
-    rep_of = scratch.keep(feats.filter("n_shingles > 0").select("doc_id", "set_hi", "set_lo").join(reps, ["set_hi", "set_lo"]).select("doc_id", "rep"), "representatives")
-    alone = feats.join(rep_of.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # one text for each doc_id; where ids don't repeat there is nothing to leave out
+    counts = feats.groupBy("doc_id").agg(F.count("*").alias("c"), F.max(F.struct("n_shingles", "set_hi", "set_lo", "text_key")).alias("best")).filter("c > 1")
+    repeated = scratch.keep(counts.select("doc_id", F.col("best.text_key").alias("best")), "repeated")
+    if not repeated.isEmpty():
+        beaten = scratch.keep(feats.select("doc_id", "text_key").join(repeated, "doc_id").filter("text_key <> best").select("doc_id", "text_key").distinct(), "beaten")
+        feats = scratch.keep(feats.join(beaten, ["doc_id", "text_key"], "left_anti").dropDuplicates(["doc_id"]), "features")
+        docs = docs.join(beaten, ["doc_id", "text_key"], "left_anti")
+    # equal sets: one representative each; only groups of several move, as ids and digests
+    groups = feats.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
+    groups = scratch.keep(groups.select("set_hi", "set_lo", "rep"), "groups")
+    rep_of = scratch.keep(feats.select("doc_id", "set_hi", "set_lo").join(groups, ["set_hi", "set_lo"]).select("doc_id", "rep"), "representatives")
+    alone = feats.filter("n_shingles > 0").join(rep_of.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
     alone = scratch.keep(alone.select("doc_id", "n_shingles", "blocks", "sig", "sketch"), "sets")
     # blocks that at least two sets share
     keys = alone.select(F.col("doc_id").alias("id"), F.posexplode("blocks").alias("k", "key"))
@@ -188,12 +203,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     buckets = scratch.keep(tensor.join(counted, "key").select("key", "t", "id", "low"), "buckets")
     size = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "blocks", "sig", "sketch")
 
-    def agree(x: pd.Series, y: pd.Series) -> np.ndarray:
-        return np.array([np.count_nonzero(np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)) for p, q in zip(x, y, strict=True)]) / width
-
-    @F.pandas_udf("boolean")
-    def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(agree(x, y) >= floor)
+    @F.arrow_udf("boolean")
+    def near(x: pa.Array, y: pa.Array) -> pa.Array:
+        p, q = (np.frombuffer(b"".join(z.to_pylist()), np.uint8).reshape(-1, width) for z in (x, y))
+        return pa.array((p == q).sum(axis=1) >= floor * width)
 
     fits = lambda p, q: (F.least(p, q) * den >= F.greatest(p, q) * num)
     first = buckets.filter("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
@@ -232,7 +245,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
             sig, t = np.frombuffer(b"".join(done.column("sig").to_pylist()), np.uint8).reshape(-1, width), done.column("t").to_numpy()
             block = done.column("blocks").combine_chunks().flatten().to_numpy().reshape(-1, 2, blocks)
             matrix, held = sketch_matrix(done.column("sketch").to_pylist())
-            found = []
+            src, dst, gathered = [], [], 0
             for a, b in itertools.pairwise([0, *cuts[cuts < whole], whole]):
                 same = p[a] == q[a]
                 for i in range(a, b - 1) if same else a + np.flatnonzero(part[a:b] == p[a]):
@@ -246,16 +259,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
                         ok[ok] = sketches_near(i, j[ok], matrix, held, n, num / den, slack)
                         j = j[ok]
                         in_block = (block[j] == block[i]).argmax(axis=2)
-                        found += [(min(ids[i], x), max(ids[i], x)) for x in ids[j[in_block[:, 0] * 256 + in_block[:, 1] == t[i]]]]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+                        other = ids[j[in_block[:, 0] * 256 + in_block[:, 1] == t[i]]]
+                        src.append(np.minimum(ids[i], other))
+                        dst.append(np.maximum(ids[i], other))
+                        gathered += len(other)
+                        if gathered > PAIRS:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst)], names=["a", "b"])
+                            src, dst, gathered = [], [], 0
+            if gathered:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst)], names=["a", "b"])
 
     group = ["key", "band", "p", "q"]
     second = rest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *group).sortWithinPartitions(*group).mapInArrow(compare, "a long, b long")
     second = scratch.keep(second.join(first, ["a", "b"], "left_anti"), "pairs")
     more = _confirm(scratch, docs, second, num, den)
     final = scratch.keep(connected_components(scratch, links.union(more)), "final")
-    out = feats.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(rep_of.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left")
-    out = out.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = feats.select("doc_id", "n_shingles").join(rep_of, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    out = out.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = scratch.keep(out.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept")), "result")
-    scratch.drop(feats, rep_of, alone, buckets, first, links, labels, open_, second, more, final)
+    scratch.drop(feats, groups, rep_of, alone, buckets, first, links, labels, open_, second, more, final)
     return out
