@@ -189,8 +189,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     groups = feats.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
     groups = scratch.keep(groups.select("set_hi", "set_lo", "rep"), "groups")
     rep_of = scratch.keep(feats.select("doc_id", "set_hi", "set_lo").join(groups, ["set_hi", "set_lo"]).select("doc_id", "rep"), "representatives")
-    alone = feats.filter("n_shingles > 0").join(rep_of.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
-    alone = scratch.keep(alone.select("doc_id", "n_shingles", "blocks", "sig", "sketch"), "sets")
+    alone = feats.filter("n_shingles > 0").select("doc_id", "blocks").join(rep_of.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
+    alone = scratch.keep(alone.select("doc_id", "blocks"), "sets")  # signature and sketch don't move with it
     # blocks that at least two sets share
     keys = alone.select(F.col("doc_id").alias("id"), F.posexplode("blocks").alias("k", "key"))
     shared = keys.groupBy("k", "key").agg(F.count("*").alias("c")).filter("c > 1")
@@ -201,7 +201,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     tensor = tensor.select("id", F.xxhash64("a.key", "b.key").alias("key"), (F.col("a.k") * 256 + F.col("b.k") - blocks).alias("t"))
     counted = tensor.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low")).filter("c > 1")
     buckets = scratch.keep(tensor.join(counted, "key").select("key", "t", "id", "low"), "buckets")
-    size = alone.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "blocks", "sig", "sketch")
+    size = feats.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "blocks", "sig", "sketch")
 
     @F.arrow_udf("boolean")
     def near(x: pa.Array, y: pa.Array) -> pa.Array:
