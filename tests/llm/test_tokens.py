@@ -30,7 +30,7 @@ def test_prefix_bpe(spark, texts):
     path = tokenizer("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in bpe.encode_documents(spark, df, path, ids=True).collect()}
+    got = {r.doc_id: r for r in bpe.encode_documents(spark, df, path, ids=True, decoded=True).collect()}
     assert len(got) == len(texts)
     for i, x in enumerate(texts):
         ids = t.encode(x or "", add_special_tokens=False).ids
