@@ -70,6 +70,18 @@ def buckets(x: np.ndarray, tables: int, probes: int, seed: int) -> tuple[np.ndar
     return homes, probed
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision scaled to length 1; the largest component first, so that no square overflows."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def bucket_type(dim: int) -> type:
+    """The narrowest integers that hold the bucket numbers of vectors of this length."""
+    return np.int16 if 4 * (1 << max(0, dim - 1).bit_length()) ** 2 <= 1 << 15 else np.int32
+
+
 def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.93, tables: int = 12, probes: int = 4, seed: int = 5) -> DataFrame:
     """Links between rows with equal, non-null labels and cosine >= threshold.
 
@@ -80,6 +92,7 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
     (the smallest vec_id reachable) and kept. A pair's cosine is always verified, so there is no false link.
     """
     scratch = Scratch(spark, "vectors")
+    kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64  # as they come, in half the bytes
     vec = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label")).filter("vec_id is not null")
     vec = vec.groupBy("vec_id").agg(F.min_by(F.struct("e", "label"), F.struct(F.col("label").isNull(), "label", F.col("e").isNull(), "e")).alias("x")).select("vec_id", "x.*")
     finite = ~F.exists("e", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("e", lambda c: c != 0)
@@ -95,14 +108,13 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
             for dim, part in pdf.groupby(pdf["e"].map(len)):
                 for i in range(0, len(part), 1024):
                     some = part.iloc[i : i + 1024]
-                    x = np.stack(some["e"].to_numpy()).astype(np.float64)
-                    x /= np.abs(x).max(axis=1, keepdims=True)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    x = unit(np.stack(some["e"].to_numpy()))
                     homes, probed = buckets(x, tables, probes, seed)
-                    where = pa.array([h.tobytes() + p.tobytes() for h, p in zip(homes, probed, strict=True)], pa.binary())
+                    small = bucket_type(dim)
+                    where = pa.array([h.tobytes() + p.tobytes() for h, p in zip(homes.astype(small), probed.astype(small), strict=True)], pa.binary())
                     at = np.concatenate((homes[:, :, None], probed), axis=2).reshape(len(some), -1)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * at.shape[1]), pa.array(at.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(some["rep"]), pa.array(some["copies"]), pa.array(some["label"]), pa.array(np.full(len(some), dim)), pa.array([v.tobytes() for v in x], pa.binary()), where, lists], names=["id", "copies", "label", "dim", "v", "w", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(some["rep"]), pa.array(some["copies"]), pa.array(some["label"]), pa.array(np.full(len(some), dim)), pa.array([v.tobytes() for v in np.stack(some["e"].to_numpy()).astype(kind)], pa.binary()), where, lists], names=["id", "copies", "label", "dim", "v", "w", "at"])
 
     rows = scratch.keep(reps.select("rep", "copies", "label", "e").mapInArrow(hashed, "id long, copies long, label string, dim long, v binary, w binary, at array<int>"), "hashes")
     place = rows.select("id", "label", "dim", F.posexplode("at").alias("k", "bucket")).filter("bucket >= 0").select("id", "label", "dim", F.floor(F.col("k") / (probes + 1)).cast("int").alias("t"), "bucket", (F.col("k") % (probes + 1) == 0).alias("home"))
@@ -137,17 +149,14 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
     def in_group(v: list[bytes], w: list[bytes], of: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The members of one group that have links there: id, links, the smallest member of the component."""
         n, t, bucket, p, q = len(v), int(of["t"][0]), int(of["bucket"][0]), of["p"][0], of["q"][0]
-        x = np.frombuffer(b"".join(v)).reshape(n, -1)
-        at = np.frombuffer(b"".join(w), np.int32).reshape(n, tables * (probes + 1))
+        x = unit(np.frombuffer(b"".join(v), kind).reshape(n, -1))
+        at = np.frombuffer(b"".join(w), bucket_type(x.shape[1])).reshape(n, tables * (probes + 1))
         homes, probed = at[:, :tables], at[:, tables:].reshape(n, tables, probes)
         ids, home, part, copies = (of[c] for c in ("id", "home", "part", "copies"))
-        links, low = np.zeros(n, np.int64), np.arange(n)
-
-        def root(i: int) -> int:
-            while low[i] != i:
-                low[i] = low[low[i]]
-                i = low[i]
-            return i
+        order = np.argsort(ids, kind="stable")
+        links, low = np.zeros(n, np.int64), np.arange(n)  # low: by place in the order of ids
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
 
         first, other = (np.flatnonzero(part == p), np.flatnonzero(part == q)) if p != q else (np.arange(n), np.arange(n))
         for s in range(0, len(first), 256):
@@ -160,17 +169,19 @@ def near_duplicate_vectors(spark: SparkSession, vectors: DataFrame, threshold: f
                 # a meets b at its home if that is b's home or probe, and the other way round
                 at_a = (homes[a, : t + 1] == homes[b, : t + 1]) | (probed[b, : t + 1] == homes[a, : t + 1, None]).any(axis=2)
                 at_b = (probed[a, : t + 1] == homes[b, : t + 1, None]).any(axis=2)
-                here = np.minimum(np.where(at_a[:, t], homes[a, t], np.iinfo(np.int32).max), np.where(at_b[:, t], homes[b, t], np.iinfo(np.int32).max))
+                none = np.int32(np.iinfo(np.int32).max)
+                here = np.minimum(np.where(at_a[:, t], homes[a, t], none), np.where(at_b[:, t], homes[b, t], none))
                 new = ~(at_a[:, :t] | at_b[:, :t]).any(axis=1) & (here == bucket)
                 np.add.at(links, a[new], copies[b[new]])
                 np.add.at(links, b[new], copies[a[new]])
-                for u in np.unique(a):
-                    for v in {root(k) for k in b[a == u]}:
-                        ru, rv = root(u), root(v)
-                        if ru != rv:
-                            big, small = (ru, rv) if ids[ru] > ids[rv] else (rv, ru)
-                            low[big] = small
-        lows = ids[[root(i) for i in range(n)]]
+                u, v = low[rank[a]], low[rank[b]]
+                while (differ := u != v).any():  # hang the larger of two roots on the smaller, then go up to the roots
+                    u, v = u[differ], v[differ]
+                    np.minimum.at(low, np.maximum(u, v), np.minimum(u, v))
+                    while ((up := low[low]) != low).any():
+                        low = up
+                    u, v = low[u], low[v]
+        lows = ids[order][low[rank]]
         touched = (links > 0) | (lows != ids)
         return ids[touched], links[touched], lows[touched]
 
