@@ -11,11 +11,20 @@ from corvane.operators import snapshots as S
 from corvane.plans.registry import query, table
 
 _HASH = "substring(sha256(o_orderpriority || o_orderkey), 1, 32)"
+#: The parent has 14 of every 15 pages; a delta cuts to 13 of them.
+_COUNT, _CUT = "(SELECT max(o_orderkey) * 14 // 15 FROM orders)", "(SELECT max(o_orderkey) * 13 // 15 FROM orders)"
 _PAGES = f"""pages_ AS (SELECT o_orderkey - 1 AS page, {_HASH} AS hash FROM orders),
-parent AS (SELECT page, CASE WHEN page % 97 < 5 THEN 'changed' ELSE hash END AS hash FROM pages_ WHERE page % 211 <> 7 AND page < 1400),
-dirty AS (SELECT p.page, p.hash FROM pages_ p LEFT JOIN parent q USING (page) WHERE q.hash IS NULL OR p.page >= 1400 OR p.hash <> q.hash)"""
+parent AS (SELECT page, CASE WHEN page % 97 < 5 THEN 'changed' ELSE hash END AS hash FROM pages_ WHERE page % 211 <> 7 AND page < {_COUNT}),
+dirty AS (SELECT p.page, p.hash FROM pages_ p LEFT JOIN parent q USING (page) WHERE q.hash IS NULL OR p.page >= {_COUNT} OR p.hash <> q.hash)"""
 _RUNS = """isles AS (SELECT page, page - row_number() OVER (ORDER BY page) AS g FROM dirty), runs AS (SELECT min(page) AS start, count(*) AS "count" FROM isles GROUP BY g)"""
-COUNT = 1400
+
+
+def largest(spark: SparkSession, sf_dir: str, column: str = "o_orderkey") -> int:
+    return table(spark, sf_dir, "orders").agg(F.max(column)).first()[0] or 0
+
+
+def parent_count(spark: SparkSession, sf_dir: str) -> int:
+    return largest(spark, sf_dir) * 14 // 15
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +32,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).filter(f"page % 211 <> 7 and page < {COUNT}").withColumn("hash", F.when(F.col("page") % 97 < 5, "changed").otherwise(F.col("hash")))
+    return pages(spark, sf_dir).filter(f"page % 211 <> 7 and page < {parent_count(spark, sf_dir)}").withColumn("hash", F.when(F.col("page") % 97 < 5, "changed").otherwise(F.col("hash")))
 
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.dirty(pages(spark, sf_dir), parent(spark, sf_dir), COUNT)
+    return P.dirty(pages(spark, sf_dir), parent(spark, sf_dir), parent_count(spark, sf_dir))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,41 +84,41 @@ def run_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.run_offsets(p, 4096)
 
 
-@query(f"WITH {_PAGES} SELECT coalesce(d.page, p.page) AS page, coalesce(d.hash, p.hash) AS hash FROM parent p FULL JOIN dirty d USING (page) WHERE coalesce(d.page, p.page) < 1300")
+@query(f"WITH {_PAGES} SELECT coalesce(d.page, p.page) AS page, coalesce(d.hash, p.hash) AS hash FROM parent p FULL JOIN dirty d USING (page) WHERE coalesce(d.page, p.page) < {_CUT}")
 def apply_hash_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.apply_hashes(parent(spark, sf_dir), dirty(spark, sf_dir), 1300)
+    return P.apply_hashes(parent(spark, sf_dir), dirty(spark, sf_dir), largest(spark, sf_dir) * 13 // 15)
 
 
-@query("""SELECT page FROM range(1400, 1500) r(page) WHERE page NOT IN (SELECT o_orderkey - 1 FROM orders WHERE o_orderkey % 3 <> 0)""")
+@query(f"""SELECT page FROM (SELECT unnest(range({_COUNT}, (SELECT max(o_orderkey) FROM orders))) AS page) WHERE page NOT IN (SELECT o_orderkey - 1 FROM orders WHERE o_orderkey % 3 <> 0)""")
 def growth_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.growth_gaps(COUNT, pages(spark, sf_dir).filter("(page + 1) % 3 <> 0"), 1500)
+    return P.growth_gaps(parent_count(spark, sf_dir), pages(spark, sf_dir).filter("(page + 1) % 3 <> 0"), largest(spark, sf_dir))
 
 
 def _maps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Base runs of 50 pages each, and delta runs over some of them."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey between 1 and 200").select((F.col("o_orderkey") - 1).alias("k"))
+    o = table(spark, sf_dir, "orders").filter("o_orderkey > 0").select((F.col("o_orderkey") - 1).alias("k"))  # pages begin at 0
     base = o.select((F.col("k") * 50).alias("start_page"), F.lit(50).cast("long").alias("page_count"), F.concat(F.lit("b"), F.floor(F.col("k") / 4)).alias("blob"), (F.col("k") % 4 * 50).alias("blob_offset"))
     delta = o.filter("k % 6 = 1").select((F.col("k") * 50 + 30).alias("start_page"), F.lit(35).cast("long").alias("page_count"), F.lit("d").alias("blob"), (F.col("k") * 35).alias("blob_offset"))
     return base, delta
 
 
-_MAPS = """base AS (SELECT k * 50 AS s, 50 AS n, 'b' || (k // 4) AS blob, k % 4 * 50 AS o FROM (SELECT o_orderkey - 1 AS k FROM orders WHERE o_orderkey BETWEEN 1 AND 200)),
-delta AS (SELECT k * 50 + 30 AS s, 35 AS n, 'd' AS blob, k * 35 AS o FROM (SELECT o_orderkey - 1 AS k FROM orders WHERE o_orderkey BETWEEN 1 AND 200) WHERE k % 6 = 1),
+_MAPS = """base AS (SELECT k * 50 AS s, 50 AS n, 'b' || (k // 4) AS blob, k % 4 * 50 AS o FROM (SELECT o_orderkey - 1 AS k FROM orders WHERE o_orderkey > 0)),
+delta AS (SELECT k * 50 + 30 AS s, 35 AS n, 'd' AS blob, k * 35 AS o FROM (SELECT o_orderkey - 1 AS k FROM orders WHERE o_orderkey > 0) WHERE k % 6 = 1),
 pts AS (SELECT 0 AS tag, s, blob, o + i AS place, s + i AS page FROM (SELECT *, unnest(range(n)) AS i FROM base) UNION ALL SELECT 1, s, blob, o + i, s + i FROM (SELECT *, unnest(range(n)) AS i FROM delta)),
-own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY tag DESC) AS r FROM pts WHERE page < 9000) WHERE r = 1)"""
+own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY tag DESC) AS r FROM pts WHERE page < (SELECT max(o_orderkey) * 45 FROM orders)) WHERE r = 1)"""
 
 
 @query(f"""WITH {_MAPS}, g AS (SELECT *, page - row_number() OVER (PARTITION BY tag, s, blob ORDER BY page) AS g FROM own)
 SELECT min(page) AS start_page, count(*) AS page_count, blob, min(place) AS blob_offset FROM g GROUP BY tag, s, blob, g""")
 def apply_page_map_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, delta = _maps(spark, sf_dir)
-    return P.apply_runs(base, delta, 9000)
+    return P.apply_runs(base, delta, largest(spark, sf_dir) * 45)
 
 
-@query(f"""WITH {_MAPS}, kept AS (SELECT s, n FROM base WHERE s % 350 <> 100), l AS (SELECT coalesce(lag(s + n) OVER (ORDER BY s), 0) AS expected, s AS found FROM kept UNION ALL SELECT max(s + n), 11000 FROM kept)
+@query(f"""WITH {_MAPS}, kept AS (SELECT s, n FROM base WHERE s % 350 <> 100), l AS (SELECT coalesce(lag(s + n) OVER (ORDER BY s), 0) AS expected, s AS found FROM kept UNION ALL SELECT max(s + n), (SELECT max(o_orderkey) * 50 + 1000 FROM orders) FROM kept)
 SELECT CAST(expected AS BIGINT) AS expected, CAST(found AS BIGINT) AS found FROM l WHERE expected <> found""")
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.coverage_gaps(_maps(spark, sf_dir)[0].filter("start_page % 350 <> 100"), 11000)
+    return P.coverage_gaps(_maps(spark, sf_dir)[0].filter("start_page % 350 <> 100"), largest(spark, sf_dir) * 50 + 1000)
 
 
 @query(f"WITH {_MAPS} SELECT o_orderkey - 1 AS page, blob, o + (o_orderkey - 1) - s AS \"at\" FROM orders JOIN base ON o_orderkey - 1 >= s AND o_orderkey - 1 < s + n")
@@ -126,9 +135,9 @@ def page_run_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH h AS (SELECT o_custkey AS page, o_orderkey AS ordinal, substring(sha256(o_orderpriority), 1, 32) AS hash FROM orders)
-SELECT page, arg_max(hash, ordinal) AS hash FROM h WHERE page < 1000 GROUP BY page""")
+SELECT page, arg_max(hash, ordinal) AS hash FROM h WHERE page < (SELECT max(o_custkey) * 2 // 3 FROM orders) GROUP BY page""")
 def materialize_hash_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.materialize(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("ordinal"), P.page_hash(F.col("o_orderpriority")).alias("hash")), 1000)
+    return P.materialize(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("ordinal"), P.page_hash(F.col("o_orderpriority")).alias("hash")), largest(spark, sf_dir, "o_custkey") * 2 // 3)
 
 
 @query("""WITH c AS (SELECT o_custkey AS snapshot, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, CAST(floor(o_totalprice) AS BIGINT) AS stored FROM orders),
