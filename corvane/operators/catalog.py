@@ -70,13 +70,18 @@ def usage_changed(then: DataFrame, now: DataFrame) -> DataFrame:
 def repack_candidates(used: DataFrame, now: Column, min_age: str = "INTERVAL 24 HOURS", min_dead: int = MIN_DEAD) -> DataFrame:
     """Packs to rewrite: those without live entries, then old ones at most half live with enough dead bytes.
 
-    Half is (entries - 1) / 2 rounded down. `partial` tells the two apart; order by (partial, created_at, pack_id).
+    Half is (entries - 1) / 2 rounded down. `partial` tells the two apart; repack_order ranks them.
     """
     empty = F.col("live") == 0
     sparse = (F.col("live") <= F.floor((F.col("entry_count") - 1) / 2)) & (F.col("created_at") <= now - F.expr(min_age)) & (F.col("stored_bytes") - F.col("live_stored") >= min_dead)
     return used.filter(empty | sparse).withColumn("partial", ~empty)
 
 
+def repack_order(chosen: DataFrame) -> DataFrame:
+    """Adds rank from 0 in the order (partial, created_at, pack_id); candidates are packs, a few rows for each terabyte."""
+    return chosen.withColumn("rank", F.row_number().over(Window.orderBy("partial", "created_at", "pack_id")) - 1)
+
+
 def moves_problems(expected: DataFrame, moves: DataFrame) -> DataFrame:
     """Where moves(hash, source) isn't exactly the set expected(hash, source): omitted, extra or duplicate."""
     e = expected.select("hash", "source").distinct().withColumn("e", F.lit(1))

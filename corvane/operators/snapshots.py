@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +56,20 @@ def reference_problems(refs: DataFrame, index: DataFrame, sizes: bool = True) ->
     return refs.join(verdict.select("hash", "size", wrong.alias("detail")).filter("detail is not null"), ["hash", "size"]).select("snapshot_id", "hash", "detail")
 
 
+def folded_key(path: Column) -> Column:
+    """What two paths share that a file system may take for one: cleaned, composed (NFC) and in lower case."""
+
+    @F.pandas_udf("string")
+    def composed(p: pd.Series) -> pd.Series:
+        return p.str.normalize("NFC")
+
+    clean = F.regexp_replace(F.regexp_replace(path, r"/+(?:\./+)*", "/"), r"^(?:\./)+|/\.?$", "")
+    return F.lower(composed(clean))
+
+
 def path_problems(entries: DataFrame, reserved: tuple[str, ...]) -> DataFrame:
-    """Unsafe paths and those that collide with another once case is folded: (path, problem)."""
-    folded = entries.select("path", F.lower("path").alias("f"))
+    """Unsafe paths and those that collide with another once folded: (path, problem)."""
+    folded = entries.select("path", folded_key(F.col("path")).alias("f"))
     clash = folded.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f", F.lit("collision").alias("c"))
     p = F.coalesce(path_problem(F.col("path"), reserved), F.col("c"))
     return folded.join(clash, "f", "left").select("path", p.alias("problem")).filter("problem is not null")

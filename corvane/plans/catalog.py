@@ -41,12 +41,16 @@ def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("pack_id").agg(F.count("*").alias("entry_count"), F.sum("size").alias("stored_bytes")).withColumn("created_at", day)
 
 
-def footers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What containers say: like the catalogue, but some entries are lacking or described otherwise."""
-    e = entries(spark, sf_dir).filter("crc32c % 17 <> 3")
+def described(e: DataFrame) -> DataFrame:
+    """What containers say of entries: some are lacking or described otherwise."""
+    e = e.filter("crc32c % 17 <> 3")
     return e.withColumn("stored_len", F.when(F.col("crc32c") % 19 == 5, F.col("stored_len") + 1).otherwise(F.col("stored_len"))).withColumn("crc32c", F.when(F.col("crc32c") % 23 == 7, F.col("crc32c") + 1).otherwise(F.col("crc32c")))
 
 
+def footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return described(entries(spark, sf_dir))
+
+
 @query(f"WITH {_BLOBS} SELECT hash, min(pos) AS pos, min(size) AS size FROM blobs WHERE hash NOT IN (SELECT hash FROM blobs WHERE pos % 9 = 0) GROUP BY hash")
 def blob_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blobs(spark, sf_dir)
@@ -74,9 +78,9 @@ def resolve_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.resolve(blobs(spark, sf_dir).select("hash").distinct(), members(spark, sf_dir), entries(spark, sf_dir))
 
 
-@query(f"{_BASE}, {_LIVE} SELECT pack_id, hash, stored_len FROM live WHERE pack_id = 3")
+@query(f"{_BASE}, {_LIVE} SELECT pack_id, hash, stored_len FROM live")
 def live_pack_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.live_entries(entries(spark, sf_dir).filter("pack_id = 3"), members(spark, sf_dir)).select("pack_id", "hash", "stored_len")
+    return C.live_entries(entries(spark, sf_dir), members(spark, sf_dir)).select("pack_id", "hash", "stored_len")
 
 
 @query(f"{_BASE}, {_PACKS}, {_LIVE}, {_USAGE} SELECT pack_id, entry_count, stored_bytes, live, live_stored, live_raw, max_stored, max_raw FROM used")

@@ -159,7 +159,7 @@ def snapshot_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.chain(s, "p131")
 
 
-def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attachments of snapshots: documents by source."""
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("source").alias("snapshot_id"), F.col("doc_id").alias("pos"), F.sha2("text", 256).alias("hash"), F.col("n_chars").cast("long").alias("size"))
@@ -170,13 +170,13 @@ _REFS = "refs AS (SELECT source AS snapshot_id, doc_id AS pos, sha256(text) AS h
 
 @query(f"WITH {_REFS} SELECT DISTINCT hash FROM refs WHERE pos % 2 = 0 AND hash NOT IN (SELECT hash FROM refs WHERE pos % 3 <> 0)")
 def list_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _refs(spark, sf_dir)
+    r = attachments(spark, sf_dir)
     return S.shrank(r.filter("pos % 2 = 0"), r.filter("pos % 3 <> 0"))
 
 
 @query(f"WITH {_REFS} SELECT hash, min(pos) AS pos, arg_min(size, pos) AS size FROM refs WHERE hash NOT IN (SELECT hash FROM refs WHERE pos % 4 = 0) GROUP BY hash")
 def capture_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _refs(spark, sf_dir)
+    r = attachments(spark, sf_dir)
     return S.capture(r, r.filter("pos % 4 = 0"))
 
 
@@ -184,14 +184,14 @@ def capture_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT snapshot_id, count(*) AS blobs, CAST(sum(size) AS BIGINT) AS bytes FROM refs GROUP BY snapshot_id)
 SELECT snapshot_id, blobs, bytes, n AS found_blobs, b AS found_bytes FROM m JOIN t USING (snapshot_id) WHERE blobs <> n OR bytes <> b""")
 def attachment_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _refs(spark, sf_dir)
+    r = attachments(spark, sf_dir)
     return S.totals_problems(r.groupBy("snapshot_id").agg(F.count("*").alias("blobs"), F.sum("size").alias("bytes")), r)
 
 
 @query(f"""WITH {_REFS}, idx AS (SELECT hash, min(size + CASE WHEN pos % 13 = 0 THEN 1 ELSE 0 END) AS raw_len FROM refs GROUP BY hash HAVING min(pos) % 10 <> 0)
 SELECT snapshot_id, r.hash, CASE WHEN raw_len IS NULL THEN 'missing' ELSE 'size' END AS detail FROM refs r LEFT JOIN idx USING (hash) WHERE raw_len IS NULL OR raw_len <> size""")
 def verify_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _refs(spark, sf_dir)
+    r = attachments(spark, sf_dir)
     index = r.groupBy("hash").agg(F.min(F.col("size") + F.when(F.col("pos") % 13 == 0, 1).otherwise(0)).alias("raw_len"), F.min("pos").alias("p")).filter("p % 10 <> 0")
     return S.reference_problems(r, index)
 
