@@ -22,7 +22,47 @@ def remote_path(url: Column) -> Column:
 
 
 def remote_identity(url: Column) -> Column:
-    return F.when((remote_host(url) != "") & (remote_path(url) != ""), F.concat(remote_host(url), F.lit("/"), remote_path(url)))
+    """host[:port]/path of a hosted remote, ports of the scheme's default left out; other texts trimmed."""
+    url = F.trim(url)
+    scheme = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    port = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*:([0-9]+)(?:[/?#]|$)", 1)
+    usual = F.when(scheme == "http", "80").when(scheme == "https", "443").when(scheme.isin("ssh", "git+ssh", "ssh+git"), "22").when(scheme == "git", "9418").otherwise("")
+    host = F.concat(remote_host(url), F.when((port != "") & (port != usual), F.concat(F.lit(":"), port)).otherwise(""))
+    return F.when((remote_host(url) != "") & (remote_path(url) != ""), F.concat(host, F.lit("/"), remote_path(url))).otherwise(url)
+
+
+def _unsafe(part: Column, slash: bool) -> Column:
+    bad = (part == "") | part.rlike(r"^\s|\s$|^/|\\") | F.exists(F.split(part, "/"), lambda p: p.isin("", ".", ".."))
+    return F.coalesce(bad if slash else bad | part.contains("/"), F.lit(True))
+
+
+def clone_path(base: str, host: Column, owner: Column, name: Column) -> Column:
+    """base/host/owner/name.git, or null where a part could leave its place; only an owner may hold slashes."""
+    safe = ~_unsafe(host, False) & ~_unsafe(owner, True) & ~_unsafe(name, False)
+    return F.when(safe, F.concat(F.lit(base.rstrip("/") + "/"), host, F.lit("/"), owner, F.lit("/"), name, F.lit(".git")))
+
+
+def module_url(line: Column) -> Column:
+    """The value of a line `url = value` of a module file, without quotes around it; null for comments and other lines."""
+    line = F.trim(line)
+    value = F.trim(F.regexp_extract(line, r"(?i)^url\s*=(.*)$", 1))
+    quoted = value.rlike(r'^"[^"\\]*"$')
+    return F.when(line.rlike(r"(?i)^url\s*="), F.when(quoted, F.regexp_replace(value, '^"|"$', "")).otherwise(value))
+
+
+def is_local_url(url: Column) -> Column:
+    """Whether a URL names the local file system: file:, absolute and relative paths, drives, network shares."""
+    return url.rlike(r"^(?:(?i:file:)|/|\./|\.\./|[A-Za-z]:|\\\\)")
+
+
+def default_branch(head: Column, remote_refs: Column, local_refs: Column) -> Column:
+    """The remote's head if it is a remote or else a local branch, then local main or master, else null."""
+    has = lambda refs, name: F.coalesce(F.array_contains(refs, name), F.lit(False))
+    named = F.coalesce(head, F.lit("")) != ""
+    return (
+        F.when(named & has(remote_refs, head), F.concat(F.lit("origin/"), head)).when(named & has(local_refs, head), head)
+        .when(has(local_refs, F.lit("main")), "main").when(has(local_refs, F.lit("master")), "master")
+    )
 
 
 def short_sha(sha: Column) -> Column:
@@ -52,6 +92,12 @@ def parse_level(name: Column) -> Column:
     return F.when(n.isin("debug", "error"), n).when(n.isin("warn", "warning"), "warn").otherwise("info")
 
 
+def parse_format(name: Column) -> Column:
+    """auto, json or text of a trimmed name in any case, auto for none; null for others."""
+    n = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    return F.when(n == "", "auto").when(n.isin("auto", "json", "text"), n)
+
+
 def normal_option(value: Column) -> Column:
     """none is empty, true and false are yes and no."""
     low = F.lower(value)

@@ -10,6 +10,13 @@ BLANK = r"^[\p{IsWhite_Space}\p{Cf}\p{Cc}]*$"
 #: Terminal escapes: CSI; OSC, DCS, SOS, PM and APC up to their terminator; other two-character escapes.
 ESCAPE = r"\x1b\[[0-?]*[ -/]*[@-~]|\x1b[\]PX^_][^\x07\x1b]*(?:\x07|\x1b\\)?|\x1b[ -/]*[0-~]"
 
+#: Characters that take no cell of a terminal, and the ranges of those that take two.
+NO_CELL = r"[\p{Mn}\p{Me}\p{Cf}\p{Cc}]"
+WIDE = (
+    r"\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}"
+    r"\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{20000}-\x{3FFFD}"
+)
+
 
 def blank(text: Column) -> Column:
     """Whether a text is null, empty or made of white space, format and control characters."""
@@ -47,6 +54,26 @@ def sanitize_line(text: Column) -> Column:
     return F.translate(sanitize_block(F.regexp_replace(strip_escapes(text), "\r\n", "\n")), "\n\t", "  ")
 
 
+def display_width(text: Column) -> Column:
+    """Cells of a terminal: none for marks, format and control characters, two for wide ones, one for others.
+
+    An emoji sequence counts each of its wide parts.
+    """
+    shown = F.regexp_replace(strip_escapes(text), NO_CELL, "")
+    return F.char_length(shown) + F.char_length(F.regexp_replace(shown, f"[^{WIDE}]", ""))
+
+
+def truncate(text: Column, cells: int, tail: str = "…") -> Column:
+    """The text if it fits in `cells`, else its longest start that does with the tail (one cell for each character)."""
+    shown = F.regexp_replace(strip_escapes(text), NO_CELL, "")
+    room = cells - len(tail)
+    widths = F.transform(F.filter(F.split(shown, ""), lambda c: c != ""), lambda c: F.when(c.rlike(f"[{WIDE}]"), 2).otherwise(1))
+    step = lambda acc, w: F.struct((acc["used"] + w).alias("used"), (acc["n"] + (acc["used"] + w <= room).cast("int")).alias("n"))
+    fit = F.aggregate(widths, F.struct(F.lit(0).alias("used"), F.lit(0).alias("n")), step)["n"]
+    cut = F.concat(F.substring(shown, F.lit(1), fit), F.lit(tail)) if room >= 0 else F.substring(F.lit(tail), 1, cells)
+    return F.when(display_width(text) <= cells, shown).otherwise(cut)
+
+
 def format_size(n: Column) -> Column:
     """Bytes as B, KB, MB or GB in units of 1024 with one decimal, ties to even."""
     out = F.format_string("%d B", n.cast("long"))

@@ -6,10 +6,14 @@ resolve the same way however the rows are dealt.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import split_chunks
+from corvane.functions.text import blank, split_chunks
 from corvane.functions.vectors import cosine_to
 
 
@@ -106,6 +110,53 @@ def topic_encoder(text: Column, topics: list[str]) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(len(topics))), lambda i: F.when(i == picked, 1.0).otherwise(0.0).cast("float"))
 
 
+def encode(chunks: DataFrame, encoder: Callable[[list[str]], Sequence[Sequence[float]]], dimension: int, batch: int = 64, isolate: bool = True) -> DataFrame:
+    """chunks(doc long, chunk_index int, text) encoded in batches inside the tasks: (doc, chunk_index, vector, error).
+
+    encoder gives a vector for each text, in their order. error is null or why there is no vector: blank (found before
+    the encoder is called), count (not as many vectors as texts), dimension, invalid (a component isn't finite or all
+    are zero), or the name of the exception. If a batch fails and `isolate` is set, each of its documents is tried
+    alone, so that one bad text spoils no others; else all of the batch fail. A batch never spans two partitions.
+    """
+
+    def tried(texts: list[str]) -> tuple[list | None, list[str | None]]:
+        try:
+            vectors = encoder(texts)
+        except Exception as e:  # whatever a user's encoder raises becomes the rows' error
+            return None, [type(e).__name__] * len(texts)
+        if len(vectors) != len(texts):
+            return None, ["count"] * len(texts)
+        errors: list[str | None] = []
+        for v in vectors:
+            x = np.asarray(v, np.float32)
+            errors.append("dimension" if x.shape != (dimension,) else None if np.isfinite(x).all() and x.any() else "invalid")
+        return vectors, errors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), batch):
+                part = whole.slice(at, batch)
+                docs, texts, is_blank = part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()
+                out: list[list[float] | None] = [None] * len(texts)
+                error: list[str | None] = ["blank" if b else None for b in is_blank]
+                todo = [i for i, b in enumerate(is_blank) if not b]
+                groups = [todo] if todo else []
+                vectors, errors = tried([texts[i] for i in todo]) if todo else ([], [])
+                if any(errors) and isolate:
+                    groups = [[i for i in todo if docs[i] == d] for d in dict.fromkeys(docs[i] for i in todo)]
+                for group in groups:
+                    if groups != [todo]:
+                        vectors, errors = tried([texts[i] for i in group])
+                    first = next((e for e in errors if e), None)
+                    for k, i in enumerate(group):
+                        error[i] = first
+                        out[i] = None if first else [float(x) for x in vectors[k]]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.list_(pa.float32())), pa.array(error, pa.string())], names=["doc", "chunk_index", "vector", "error"])
+
+    rows = chunks.select(F.col("doc").cast("long").alias("doc"), F.col("chunk_index").cast("int").alias("chunk_index"), F.coalesce("text", F.lit("")).alias("text"), blank(F.col("text")).alias("blank"))
+    return rows.mapInArrow(run, "doc long, chunk_index int, vector array<float>, error string")
+
+
 def save(scanned: DataFrame, current: DataFrame) -> DataFrame:
     """What becomes of encoded documents: saved if the revision is still the scanned one, stale if not, missing if gone."""
     now = current.select(F.col("doc").alias("c_doc"), F.col("revision").alias("c_revision"))

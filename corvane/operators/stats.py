@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.text import display_width
+
 #: Unit, most ratio, floor, whether significance is asked for.
 GATES = [("sec/op", 2.0, 100e-6, True), ("allocs/op", 1.2, 8.0, False), ("B/op", 1.25, 4096.0, False)]
 MIN_SAMPLES, ALPHA = 5, 0.05
@@ -80,8 +82,8 @@ def gauges(samples: DataFrame) -> DataFrame:
 
 
 def column_widths(rows: DataFrame, cells: str = "cells") -> DataFrame:
-    """Largest width of each column position."""
-    return rows.select(F.posexplode(cells).alias("col", "cell")).groupBy("col").agg(F.max(F.char_length("cell")).alias("width"))
+    """Largest width of each column position in cells of a terminal."""
+    return rows.select(F.posexplode(cells).alias("col", "cell")).groupBy("col").agg(F.max(display_width(F.col("cell"))).alias("width"))
 
 
 def canonical_options(options: DataFrame) -> DataFrame:
@@ -96,3 +98,40 @@ def expand_routes(routes: DataFrame, config: DataFrame) -> DataFrame:
     c = config.select(F.col("name").alias("hop"), "endpoint", "proxy")
     problem = F.when(F.col("endpoint").isNull(), "unknown").when(F.coalesce("proxy", F.lit("")) != "", "nested")
     return hops.join(c, "hop", "left").select("route", "pos", "hop", "endpoint", problem.alias("problem"))
+
+
+def reflow(rows: DataFrame, available: int, gap: int = 2) -> DataFrame:
+    """rows(layout, row, cells) in the most columns whose widths fit `available`: (layout, columns, width).
+
+    With k columns a row's cell i stands in column i % k; k runs from the longest row's cells down to 1, which is taken
+    where nothing fits. Each cell meets every k up to its layout's longest row, a handful for what a screen shows.
+    """
+    gap = max(gap, 0)
+    cells = rows.select("layout", F.size("cells").alias("n"), F.posexplode("cells").alias("i", "cell")).withColumn("w", display_width(F.col("cell")))
+    most = cells.groupBy("layout").agg(F.max("n").alias("most"))
+    tried = cells.join(most, "layout").select("layout", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("k"), "i", "w")
+    column = tried.groupBy("layout", "k", (F.col("i") % F.col("k")).alias("c")).agg(F.max("w").alias("w"))
+    total = column.groupBy("layout", "k").agg((F.sum("w") + gap * (F.count("*") - 1)).alias("width"))
+    fits = (F.col("width") <= available) if available > 0 else F.lit(True)
+    best = total.groupBy("layout").agg(F.max_by(F.struct("k", "width"), F.struct(fits, F.when(fits, F.col("k")).otherwise(-F.col("k")))).alias("b"))
+    return best.select("layout", F.col("b.k").alias("columns"), F.col("b.width").alias("width"))
+
+
+def histogram(samples: DataFrame, bounds: list[float]) -> DataFrame:
+    """Counts by instrument, attribute and bucket; bucket i holds values up to bounds[i], the last one what is above all."""
+    bucket = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < F.col("value")))
+    return samples.groupBy("instrument", "attr", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def strip_prefix(rows: DataFrame, prefixes: DataFrame, column: str) -> DataFrame:
+    """rows whose column lost the longest of prefixes(prefix), each of which ends in a slash.
+
+    Each distinct value meets the prefixes that end at one of its own slashes, an equi-join whatever their number.
+    """
+    value = rows.select(column).distinct()
+    parts = F.split(column, "/")
+    own = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")))
+    at = value.select(column, F.explode(F.when(F.size(parts) > 1, own)).alias("prefix")).join(prefixes.select("prefix"), "prefix")
+    best = at.groupBy(column).agg(F.max(F.length("prefix")).alias("__n"))
+    cut = F.substring(F.col(column), F.coalesce("__n", F.lit(0)) + 1, F.length(column))
+    return rows.join(best, column, "left").withColumn(column, cut).drop("__n").select(rows.columns)

@@ -1,6 +1,6 @@
 """Queries over the test tables and their SQL twins."""
 
-from corvane.plans import catalog, lifecycle, pages, retrieval, tabular
+from corvane.plans import catalog, hooks, lifecycle, pages, retrieval, tabular
 from corvane.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "lifecycle", "pages", "retrieval", "tabular"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "hooks", "lifecycle", "pages", "retrieval", "tabular"]

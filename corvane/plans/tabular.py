@@ -35,10 +35,10 @@ def alias_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", semistruct.promoted(j, "tool", ["toolName", "name"]).alias("tool"), (F.array_contains(keys, "tool") | F.array_contains(keys, "toolName")).alias("present"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'x' WHEN 3 THEN 'other' ELSE '' END AS unknown, true AS single FROM events")
+@query("SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'x' WHEN 3 THEN 'other' ELSE '' END AS unknown, event_id % 5 <> 0 AS single FROM events")
 def unknown_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = F.expr(_HOOK)
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(semistruct.unknown_fields(j, ["tool", "toolName"]), ",").alias("unknown"), semistruct.single_object(j).alias("single"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(semistruct.unknown_fields(j, ["tool", "toolName"]), ",").alias("unknown"), semistruct.single_object(F.concat(j, F.when(F.col("event_id") % 5 == 0, " {}").otherwise(" "))).alias("single"))
 
 
 @query("""WITH s AS (SELECT event_type AS instrument, CAST(user_id % 3 AS VARCHAR) AS attr, round(sum(value), 4) AS total, count(*) AS n FROM events GROUP BY ALL)
@@ -134,10 +134,8 @@ def first_acceptable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strip_remote_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest matching remote wins: team/x before team."""
     ref = F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit("team/b/"), F.col("c_custkey").cast("string"))).when(F.col("c_nationkey") % 3 == 1, F.concat(F.lit("team/x/"), F.col("c_custkey").cast("string"))).otherwise("main")
-    remotes = F.broadcast(spark.createDataFrame([("team/",), ("team/x/",), ("origin/",)], "prefix string"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", ref.alias("ref"))
-    best = rows.join(remotes, F.col("ref").startswith(F.col("prefix")), "left").groupBy("c_custkey", "ref").agg(F.max(F.length("prefix")).alias("n"))
-    return best.select("c_custkey", F.expr("substring(ref, coalesce(n, 0) + 1)").alias("branch"))
+    remotes = spark.createDataFrame([("team/",), ("team/x/",), ("origin/",)], "prefix string")
+    return stats.strip_prefix(table(spark, sf_dir, "customer").select("c_custkey", ref.alias("branch")), remotes, "branch")
 
 
 @query("""SELECT s_suppkey, sha256(from_hex(lpad(hex(length(s_name)), 16, '0') || hex(encode(s_name)) || lpad(hex(octet_length(encode(CAST(s_nationkey AS VARCHAR)))), 16, '0') || hex(encode(CAST(s_nationkey AS VARCHAR))))) AS identity FROM supplier""")
@@ -145,10 +143,10 @@ def identity_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", scalars.identity_digest(F.col("s_name"), F.col("s_nationkey").cast("string")).alias("identity"))
 
 
-@query("SELECT doc_id, substring(sha256(text), 1, 7) AS sha, true AS looks FROM documents")
+@query("SELECT doc_id, substring(sha256(text), 1, 7) AS sha, doc_id % 3 <> 0 AS looks FROM documents")
 def short_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.left(F.sha2("text", 256), F.lit(40))
-    return table(spark, sf_dir, "documents").select("doc_id", scalars.short_sha(h).alias("sha"), scalars.looks_like_sha(h).alias("looks"))
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.short_sha(h).alias("sha"), scalars.looks_like_sha(F.when(F.col("doc_id") % 3 == 0, F.concat(h, F.lit("x"))).otherwise(h)).alias("looks"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'yes' WHEN 2 THEN 'no' ELSE event_type END AS value FROM events")
