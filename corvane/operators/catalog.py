@@ -93,10 +93,15 @@ def moves_problems(expected: DataFrame, moves: DataFrame) -> DataFrame:
 def merge_candidates(rows: DataFrame) -> DataFrame:
     """By hash the distinct paths and aliases in order of first appearance; `conflict` where sizes contradict."""
 
-    def ordered(name: str) -> Column:
-        return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", name))), lambda x: x[name])))
-
-    return rows.groupBy("hash").agg(F.min("pos").alias("first_pos"), ordered("paths").alias("paths"), ordered("original_hashes").alias("aliases"), F.min("size").alias("size"), (F.min("size") != F.max("size")).alias("conflict"))
+    def ordered(name: str, out: str) -> DataFrame:
+        """Copies meet as one row for each distinct value before any array is made."""
+        first = rows.select("hash", "pos", F.posexplode(name).alias("i", "v")).groupBy("hash", "v").agg(F.min(F.struct("pos", "i")).alias("at"))
+        return first.groupBy("hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(out))
+
+    base = rows.groupBy("hash").agg(F.min("pos").alias("first_pos"), F.min("size").alias("size"), (F.min("size") != F.max("size")).alias("conflict"))
+    both = base.join(ordered("paths", "paths"), "hash", "left").join(ordered("original_hashes", "aliases"), "hash", "left")
+    none = F.array().cast("array<string>")
+    return both.select("hash", "first_pos", F.coalesce("paths", none).alias("paths"), F.coalesce("aliases", none).alias("aliases"), "size", "conflict")
 
 
 def dangling(packs: DataFrame, entries: DataFrame, present: DataFrame) -> DataFrame:
