@@ -11,7 +11,7 @@ Steps, each a Spark job over a keyed shuffle:
 2. equal sets collapse to their smallest doc_id, so a large group of copies is one row from here on;
 3. blocks that only one set has are dropped before the pairs are formed: they can't be part of a shared key;
 4. in each bucket every member is paired with the smallest one; the distinct pairs are verified;
-5. buckets in which more than one component is left are compared in full, in blocks of bounded size and
+5. buckets in which more than one component is left, one for each set of members, are compared in full, in blocks of bounded size and
    within reach of each other's set size, only across components; what agrees on enough minhashes and on a
    sketch of the smallest shingles, which is the whole set of a short text, is verified.
 """
@@ -193,14 +193,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     alone = scratch.keep(alone.select("doc_id", "blocks"), "sets")  # signature and sketch don't move with it
     # blocks that at least two sets share
     keys = alone.select(F.col("doc_id").alias("id"), F.posexplode("blocks").alias("k", "key"))
-    shared = keys.groupBy("k", "key").agg(F.count("*").alias("c")).filter("c > 1")
-    held = keys.join(shared.select("k", "key"), ["k", "key"])
+    shared = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")  # a key depends on its block's number
+    held = keys.join(shared.select("key"), "key")
     side = lambda test: F.collect_list(F.when(test, F.struct("k", "key")))
     sides = held.groupBy("id").agg(side(F.col("k") < blocks).alias("a"), side(F.col("k") >= blocks).alias("b"))
     tensor = sides.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b"))
     tensor = tensor.select("id", F.xxhash64("a.key", "b.key").alias("key"), (F.col("a.k") * 256 + F.col("b.k") - blocks).alias("t"))
     counted = tensor.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low")).filter("c > 1")
     buckets = scratch.keep(tensor.join(counted, "key").select("key", "t", "id", "low"), "buckets")
+    scratch.drop(alone, groups)
     size = feats.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "blocks", "sig", "sketch")
 
     @F.arrow_udf("boolean")
@@ -216,19 +217,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     labels = scratch.keep(connected_components(scratch, links), "components")
     # what the stars left open
     lab = buckets.select("key", "t", "id").join(labels, "id", "left").select("key", "t", "id", F.coalesce("component", "id").alias("lab"))
-    mixed = lab.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).filter("lo < hi").select("key")
+    mixed = lab.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.min("t").alias("t"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("lo < hi")
+    # buckets of the same members hold the same pairs: the one of the first table stands for all, and no pair's first table is lost
+    mixed = mixed.groupBy("lo", "hi", "c", "x", "y").agg(F.min_by("key", "t").alias("key")).select("key")
     step = float(np.log(den / num)) * (1 + 1e-9)  # sets in reach of each other are one band apart at most
     band = F.floor(F.log(F.col("n")) / step)
     bands = F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))
     rest = lab.join(mixed, "key").join(size.select("id", "n"), "id").select("key", "t", "id", "lab", F.explode(bands).alias("x")).select("key", "t", "id", "lab", "x.*")
     open_ = scratch.keep(rest, "open")
+    scratch.drop(buckets)
     many = open_.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.max("home").alias("any")).filter("lo < hi and any").select("key", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
     rest = open_.join(many, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     with_part = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("p"), F.greatest(p, F.col("part")).alias("q")))
-    rest = rest.withColumn("at", F.explode(with_part)).select("key", "t", "band", "at.p", "at.q", "part", "id", "lab", "home").join(size, "id")  # bounded: about 850 bytes a row
+    rest = rest.withColumn("at", F.explode(with_part)).select("key", "t", "band", "at.p", "at.q", "part", "id", "lab", "home")
+    short = F.transform("blocks", lambda x: F.shiftright(x, 32).cast("int"))  # enough to tell which table comes first
+    wide = _may_be_in(size, scratch.keep(open_.join(many.select("key", "band"), ["key", "band"]).select("id").distinct(), "members")).withColumn("blocks", short)
+    rest = rest.join(wide, "id")  # bounded: about 750 bytes a row
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group; a group may go on in the next batch. A pair counts in the first table it shares, by the block keys that make the tables."""
+        """Rows come sorted by group; a group may go on in the next batch. A pair counts in the first table it shares, by the upper halves of the block keys that make the tables."""
         rest: pa.Table | None = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
@@ -277,5 +284,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     out = feats.select("doc_id", "n_shingles").join(rep_of, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = scratch.keep(out.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept")), "result")
-    scratch.drop(feats, groups, rep_of, alone, buckets, first, links, labels, open_, second, more, final)
+    scratch.drop(feats, rep_of, first, links, labels, open_, second, more, final)
     return out
