@@ -68,11 +68,17 @@ def apply_runs(base: DataFrame, delta: DataFrame, page_count: int) -> DataFrame:
     return both.withColumn("g", g).groupBy(*[F.col(k).alias(k[4:]) for k in key], "g").agg(F.min("page").alias("first"), F.count("*").alias("page_count"), F.min("own.at").alias("blob_offset")).select(F.col("first").alias("start_page"), "page_count", "blob", "blob_offset")
 
 
-def coverage_gaps(runs: DataFrame, page_count: int) -> DataFrame:
-    """Where sorted runs don't tile [0, page_count): (expected, found)."""
+def coverage_gaps(runs: DataFrame, page_count: int, step: int = 1 << 16) -> DataFrame:
+    """Where sorted runs don't tile [0, page_count): (expected, found).
+
+    Runs are ordered within stretches of `step` pages; only one row for each stretch is ordered as a whole.
+    """
     end = F.col("start_page") + F.col("page_count")
-    w = Window.orderBy("start_page")  # a row for each run
-    inner = runs.select(F.coalesce(F.lag(end).over(w), F.lit(0)).alias("expected"), F.col("start_page").alias("found"))
+    r = runs.select("start_page", end.alias("end"), F.floor(F.col("start_page") / step).alias("s"))
+    ends = r.groupBy("s").agg(F.max_by("end", "start_page").alias("end"))
+    before = ends.select("s", F.lag("end").over(Window.orderBy("s")).alias("before"))
+    w = Window.partitionBy("s").orderBy("start_page")
+    inner = r.withColumn("lag", F.lag("end").over(w)).join(before, "s").select(F.coalesce("lag", "before", F.lit(0)).alias("expected"), F.col("start_page").alias("found"))
     last = runs.agg(F.coalesce(F.max(end), F.lit(0)).alias("expected")).select("expected", F.lit(page_count).cast("long").alias("found"))
     return inner.unionByName(last).filter("expected <> found")
 
@@ -105,16 +111,26 @@ def keyframe_due(chains: DataFrame, most_depth: int = 30) -> DataFrame:
     return totals.select("snapshot", F.when(due, 0).otherwise(F.col("depth") + 1).alias("next_depth"), F.coalesce("key_bytes", F.lit(0)).alias("key_bytes"), "delta_bytes", due.alias("keyframe"))
 
 
-def chain(snapshots: DataFrame, start: str, most: int = 30) -> DataFrame:
-    """Snapshots from start to its keyframe (depth 0), newest first; at most `most` steps, one join each."""
+def chains(snapshots: DataFrame, heads: DataFrame, most: int = 30) -> DataFrame:
+    """The snapshots from each head(head) to its keyframe (depth 0), head first, one join a step for all heads together.
+
+    snapshots(snapshot_id, parent_id, depth) with one row for each id. problem tells on the last row of a chain why it
+    doesn't end at a keyframe: 'missing parent', or 'too long' after `most` steps, where a cycle ends too; else null.
+    A head that isn't there has no row. Spark's limit on the rows of a recursion is lifted where the session sets none.
+    """
     spark = snapshots.sparkSession
-    snapshots.select("snapshot_id", "parent_id", "depth").createOrReplaceTempView("corvane_chain_source")
-    return spark.sql(
-        """WITH RECURSIVE c(snapshot_id, parent_id, depth, step) AS (
-             SELECT snapshot_id, parent_id, depth, 0 FROM corvane_chain_source WHERE snapshot_id = :start
+    if spark.conf.get("spark.sql.cteRecursionRowLimit", None) is None:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    found = spark.sql(
+        """WITH RECURSIVE c(head, snapshot_id, parent_id, depth, step) AS (
+             SELECT h.head, s.snapshot_id, s.parent_id, s.depth, 0 FROM {heads} h JOIN {snapshots} s ON s.snapshot_id = h.head
              UNION ALL
-             SELECT s.snapshot_id, s.parent_id, s.depth, c.step + 1 FROM corvane_chain_source s JOIN c ON s.snapshot_id = c.parent_id
+             SELECT c.head, s.snapshot_id, s.parent_id, s.depth, c.step + 1 FROM {snapshots} s JOIN c ON s.snapshot_id = c.parent_id
              WHERE c.depth > 0 AND c.step < :most)
            SELECT * FROM c""",
-        args={"start": start, "most": most},
+        args={"most": most},
+        snapshots=snapshots.select("snapshot_id", "parent_id", "depth"),
+        heads=heads.select("head").distinct(),
     )
+    last = F.col("step") == F.max("step").over(Window.partitionBy("head"))  # most + 1 rows for each head
+    return found.withColumn("problem", F.when(last & (F.col("depth") > 0), F.when(F.col("step") == most, "too long").otherwise("missing parent")))

@@ -151,12 +151,19 @@ def keyframe_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.keyframe_due(o.select(F.col("o_custkey").alias("snapshot"), pos.alias("pos"), F.floor("o_totalprice").alias("stored")))
 
 
-@query("""SELECT 'p' || k AS snapshot_id, CASE WHEN k % 12 = 0 THEN NULL ELSE 'p' || (k - 1) END AS parent_id, k % 12 AS depth, CAST(131 - k AS INTEGER) AS step
-FROM (SELECT p_partkey AS k FROM part WHERE p_partkey BETWEEN 120 AND 131)""")
+@query("""WITH RECURSIVE s AS (SELECT 'p' || k AS snapshot_id, CASE WHEN k % 60 = 5 THEN 'gone' WHEN k % 60 = 12 THEN 'p' || (k + 11) WHEN k % 12 <> 0 THEN 'p' || (k - 1) END AS parent_id,
+  CASE WHEN k % 60 = 12 THEN 12 ELSE k % 12 END AS depth, k % 12 = 11 OR k % 60 = 4 AS is_head FROM (SELECT p_partkey AS k FROM part)),
+c AS (SELECT snapshot_id AS head, snapshot_id, parent_id, depth, 0 AS step FROM s WHERE is_head
+  UNION ALL SELECT c.head, s.snapshot_id, s.parent_id, s.depth, c.step + 1 FROM s JOIN c ON s.snapshot_id = c.parent_id WHERE c.depth > 0 AND c.step < 30)
+SELECT *, CASE WHEN step < max(step) OVER (PARTITION BY head) OR depth = 0 THEN NULL WHEN step = 30 THEN 'too long' ELSE 'missing parent' END AS problem FROM c""")
 def snapshot_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of twelve parts; in every fifth one a parent is gone, in the one after it the keyframe's place leads back."""
     k = F.col("p_partkey")
-    s = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("snapshot_id"), F.when(k % 12 != 0, F.concat(F.lit("p"), (k - 1).cast("string"))).alias("parent_id"), (k % 12).alias("depth"))
-    return P.chain(s, "p131")
+    p = lambda n: F.concat(F.lit("p"), n.cast("string"))
+    parent = F.when(k % 60 == 5, "gone").when(k % 60 == 12, p(k + 11)).when(k % 12 != 0, p(k - 1))
+    part = table(spark, sf_dir, "part")
+    s = part.select(p(k).alias("snapshot_id"), parent.alias("parent_id"), F.when(k % 60 == 12, 12).otherwise(k % 12).alias("depth"))
+    return P.chains(s, part.filter((k % 12 == 11) | (k % 60 == 4)).select(p(k).alias("head")))
 
 
 def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
