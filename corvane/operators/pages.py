@@ -24,14 +24,19 @@ def dirty(pages: DataFrame, parent: DataFrame, parent_count: int) -> DataFrame:
     return pages.join(p, "page", "left").filter(F.col("was").isNull() | (F.col("page") >= parent_count) | (F.col("was") != F.col("hash"))).select("page", "hash")
 
 
-def runs_of(pages: DataFrame) -> DataFrame:
-    """Consecutive pages as (start, count): islands within stretches of pages, then islands of those that touch."""
-    stretch = F.floor(F.col("page") / STRETCH)
+def runs_of(pages: DataFrame, step: int = STRETCH) -> DataFrame:
+    """Consecutive pages as (start, count): islands within stretches of `step` pages, then islands of those that touch.
+
+    Only islands that reach an end of their stretch, two at most for each, are ordered as a whole.
+    """
+    stretch = F.floor(F.col("page") / step)
     inner = pages.select("page", stretch.alias("s")).withColumn("g", F.col("page") - F.row_number().over(Window.partitionBy("s").orderBy("page")))
     part = inner.groupBy("s", "g").agg(F.min("page").alias("a"), (F.max("page") + 1).alias("b"))
-    w = Window.orderBy("a")  # runs, not pages: a window of one task over the ends only
-    edge = part.withColumn("new", (F.coalesce(F.lag("b").over(w), F.lit(-1)) != F.col("a")).cast("int"))
-    return edge.withColumn("k", F.sum("new").over(w)).groupBy("k").agg(F.min("a").alias("start"), (F.max("b") - F.min("a")).alias("count")).select("start", "count")
+    at_edge = (F.col("a") % step == 0) | (F.col("b") % step == 0)
+    w = Window.orderBy("a")
+    edge = part.filter(at_edge).withColumn("new", (F.coalesce(F.lag("b").over(w), F.lit(-1)) != F.col("a")).cast("int"))
+    edge = edge.withColumn("k", F.sum("new").over(w)).groupBy("k").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return part.filter(~at_edge).select("a", "b").union(edge.select("a", "b")).select(F.col("a").alias("start"), (F.col("b") - F.col("a")).alias("count"))
 
 
 def run_offsets(plan: DataFrame, page_size: int) -> DataFrame:

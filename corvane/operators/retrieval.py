@@ -92,14 +92,17 @@ def chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     return docs.select("doc", F.explode(split_chunks(F.col("content"), size, overlap)).alias("c")).select("doc", F.col("c.idx").alias("chunk_index"), "c.text")
 
 
-def encode_batches(refs: DataFrame, size: int) -> DataFrame:
+def encode_batches(refs: DataFrame, size: int, step: int = 1 << 16) -> DataFrame:
     """Consecutive chunks in batches of `size`, numbered by (doc, chunk_index), and the slice of each document in them.
 
-    The global number comes from each document's count of chunks and a running sum over them; only the counts meet.
+    The global number comes from each document's count of chunks: running sums within stretches of `step` numbers of doc,
+    which is an integer, and over one row for each stretch. Where ids lie far apart, take a larger step.
     """
-    per = refs.groupBy("doc").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = per.select("doc", before.alias("start"))
+    per = refs.groupBy("doc").agg(F.count("*").alias("n")).withColumn("s", F.floor(F.col("doc") / step))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = per.groupBy("s").agg(F.sum("n").alias("n")).select("s", F.coalesce(F.sum("n").over(upto(Window.orderBy("s"))), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("n").over(upto(Window.partitionBy("s").orderBy("doc"))), F.lit(0))
+    start = per.withColumn("within", within).join(before, "s").select("doc", (F.col("before") + F.col("within")).alias("start"))
     numbered = refs.withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy("chunk_index")) - 1).join(start, "doc")
     return numbered.withColumn("batch", F.floor((F.col("start") + F.col("k")) / size)).groupBy("batch", "doc").agg(F.min("chunk_index").alias("first_chunk"), F.count("*").alias("n_chunks"))
 

@@ -148,3 +148,27 @@ def test_vector_batches_hold_nulls_and_odd_lengths(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [3.0, 4.0])], "i int, v array<float>").coalesce(1)
     got = {r.i: r.s for r in df.select("i", vectors.cosine_to([1.0, 0.0], F.col("v")).alias("s")).collect()}
     assert got == {1: 1.0, 2: None, 3: None, 4: 0.0, 5: pytest.approx(0.6)}
+
+
+def test_runs_and_gaps_do_not_depend_on_stretches(spark):
+    pages = [0, 1, 2, 3, 4, 5, 7, 8, 11, 12, 16, 20, 21, 22, 23, 24]
+    df = spark.createDataFrame([(p,) for p in pages], "page long")
+    assert sorted(tuple(r) for r in P.runs_of(df, 4).collect()) == [(0, 6), (7, 2), (11, 2), (16, 1), (20, 5)]
+    runs = spark.createDataFrame([(0, 3), (3, 6), (9, 1), (12, 2), (13, 1), (30, 2)], "start_page long, page_count long")
+    assert sorted(tuple(r) for r in P.coverage_gaps(runs, 40, 4).collect()) == [(10, 12), (14, 13), (14, 30), (32, 40)]
+    assert [tuple(r) for r in P.coverage_gaps(runs.limit(0), 5, 4).collect()] == [(0, 5)]
+
+
+def test_batches_do_not_depend_on_stretches(spark):
+    refs = spark.createDataFrame([(d, c) for d in (1, 2, 5, 9, 10, 40) for c in range(d % 4 + 1)], "doc long, chunk_index int")
+    want = sorted(tuple(r) for r in R.encode_batches(refs, 3).collect())
+    assert want == sorted(tuple(r) for r in R.encode_batches(refs, 3, 4).collect()) and {r[0] for r in want} == {0, 1, 2, 3, 4}
+
+
+def test_chains_tell_cycles_and_missing_parents(spark):
+    s = spark.createDataFrame([("a", None, 0), ("b", "a", 1), ("c", "b", 2), ("x", "gone", 1), ("y", "x", 2), ("p", "q", 1), ("q", "p", 1)], "snapshot_id string, parent_id string, depth int")
+    got = P.chains(s, spark.createDataFrame([("c",), ("y",), ("q",), ("none",)], "head string"), 4).collect()
+    by = {h: [(r.snapshot_id, r.problem) for r in sorted(got, key=lambda r: r.step) if r.head == h] for h in "cyq"}
+    assert len(got) == 10
+    assert by["c"] == [("c", None), ("b", None), ("a", None)] and by["y"] == [("y", None), ("x", "missing parent")]
+    assert by["q"] == [("q", None), ("p", None), ("q", None), ("p", None), ("q", "too long")]
