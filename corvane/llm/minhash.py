@@ -230,8 +230,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     rest = open_.join(many, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     with_part = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("p"), F.greatest(p, F.col("part")).alias("q")))
     rest = rest.withColumn("at", F.explode(with_part)).select("key", "t", "band", "at.p", "at.q", "part", "id", "lab", "home")
-    short = F.transform("blocks", lambda x: F.shiftright(x, 32).cast("int"))  # enough to tell which table comes first
-    wide = _may_be_in(size, scratch.keep(open_.join(many.select("key", "band"), ["key", "band"]).select("id").distinct(), "members")).withColumn("blocks", short)
+    short = F.transform("blocks", lambda x: F.shiftright(x, 32).cast("int"))  # tells the first table but for 1 pair in 10**8
+    members = scratch.keep(open_.join(many.select("key", "band"), ["key", "band"]).select("id").distinct(), "members")
+    wide = _may_be_in(size, members).withColumn("blocks", short)
     rest = rest.join(wide, "id")  # bounded: about 750 bytes a row
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,5 +285,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     out = feats.select("doc_id", "n_shingles").join(rep_of, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = scratch.keep(out.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept")), "result")
-    scratch.drop(feats, rep_of, first, links, labels, open_, second, more, final)
+    scratch.drop(feats, rep_of, first, links, labels, open_, members, second, more, final)
     return out
