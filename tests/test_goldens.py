@@ -172,3 +172,11 @@ def test_chains_tell_cycles_and_missing_parents(spark):
     assert len(got) == 10
     assert by["c"] == [("c", None), ("b", None), ("a", None)] and by["y"] == [("y", None), ("x", "missing parent")]
     assert by["q"] == [("q", None), ("p", None), ("q", None), ("p", None), ("q", "too long")]
+
+
+def test_run_check_moves_only_pages_that_have_a_hash(spark):
+    runs = spark.createDataFrame([(0, 5, "a", 0), (5, 1 << 31, "b", 7), (1 << 40, 2, "c", 0), (3, 0, "d", 0)], "start_page long, page_count long, blob string, blob_offset long")
+    hashes = spark.createDataFrame([(0, "x"), (4, "x"), (6, "x"), (1 << 31, "x"), ((1 << 40) + 1, "x"), (1 << 41, "x")], "page long, hash string")
+    stored = spark.createDataFrame([("a", 0, "x"), ("a", 4, "y"), ("b", 8, "x"), ("c", 1, "x")], "blob string, at long, hash string")
+    got = P.run_mismatches(runs, stored, hashes).collect()  # a run of more pages than an array holds
+    assert sorted(tuple(r) for r in got) == [(0, "a", 4), (5, "b", 1 << 31)]
