@@ -180,3 +180,40 @@ def test_run_check_moves_only_pages_that_have_a_hash(spark):
     stored = spark.createDataFrame([("a", 0, "x"), ("a", 4, "y"), ("b", 8, "x"), ("c", 1, "x")], "blob string, at long, hash string")
     got = P.run_mismatches(runs, stored, hashes).collect()  # a run of more pages than an array holds
     assert sorted(tuple(r) for r in got) == [(0, "a", 4), (5, "b", 1 << 31)]
+
+
+def test_delta_runs_are_not_expanded_to_pages(spark):
+    schema = "start_page long, page_count long, blob string, blob_offset long"
+    far = 1 << 40
+    base = [(0, far, "a", 5), (far, 10, "b", 0), (far + 20, 10, "c", 3), (far + 30, 0, "e", 0)]
+    delta = [(far // 2, 3, "d", 0), (far - 1, 3, "d", 3), (far + 25, 100, "d", 6)]
+    got = P.apply_runs(spark.createDataFrame(base, schema), spark.createDataFrame(delta, schema), far + 40).collect()
+    half = far // 2
+    want = [(0, half, "a", 5), (half, 3, "d", 0), (half + 3, half - 4, "a", half + 8), (far - 1, 3, "d", 3), (far + 2, 8, "b", 2), (far + 20, 5, "c", 3), (far + 25, 15, "d", 6)]
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_delta_runs_do_not_depend_on_stretches(spark):
+    schema = "start_page long, page_count long, blob string, blob_offset long"
+    r = random.Random(7)
+    for _ in range(6):
+        maps = [[(r.randint(0, 60), r.randint(0, 9), f"{m}{k}", 100 * k) for k in range(n)] for m, n in (("b", 12), ("d", 6))]  # runs that overlap, too
+        maps = [runs + runs[:2] for runs in maps]
+        count, model = r.randint(30, 70), {}
+        for runs in maps:
+            own = {}
+            for s, n, b, o in sorted(runs, key=lambda x: (x[0], -x[1], x[2])):
+                for i in range(n):
+                    own.setdefault(s + i, (b, s, o + i))
+            model |= own
+        want, was = [], None
+        for p in sorted(p for p in model if p < count):
+            b, s, o = model[p]
+            if was == (p - 1, b, s):
+                want[-1][1] += 1
+            else:
+                want.append([p, 1, b, o])
+            was = (p, b, s)
+        frames = [spark.createDataFrame(runs, schema) for runs in maps]
+        for step in (4, 1000):
+            assert sorted(list(x) for x in P.apply_runs(*frames, count, step).collect()) == want
