@@ -217,3 +217,10 @@ def test_delta_runs_do_not_depend_on_stretches(spark):
         frames = [spark.createDataFrame(runs, schema) for runs in maps]
         for step in (4, 1000):
             assert sorted(list(x) for x in P.apply_runs(*frames, count, step).collect()) == want
+
+
+def test_steps_of_chains_broadcast_nothing(spark):
+    s = spark.createDataFrame([("a", None, 0), ("b", "a", 1)], "snapshot_id string, parent_id string, depth int")
+    plan = P.chains(s, spark.createDataFrame([("b",)], "head string"))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 2 and all("strategy=merge" in line for line in joins)
