@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import display_width
@@ -104,17 +104,24 @@ def reflow(rows: DataFrame, available: int, gap: int = 2) -> DataFrame:
     """rows(layout, row, cells) in the most columns whose widths fit `available`: (layout, columns, width).
 
     With k columns a row's cell i stands in column i % k; k runs from the longest row's cells down to 1, which is taken
-    where nothing fits. Each cell meets every k up to its layout's longest row, a handful for what a screen shows.
+    where nothing fits. Cells are folded to the widest of each place, of which a layout has as many as its longest row;
+    the k are tried on these in place. A k whose gaps alone don't fit is not tried.
     """
     gap = max(gap, 0)
-    cells = rows.select("layout", F.size("cells").alias("n"), F.posexplode("cells").alias("i", "cell")).withColumn("w", display_width(F.col("cell")))
-    most = cells.groupBy("layout").agg(F.max("n").alias("most"))
-    tried = cells.join(most, "layout").select("layout", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("k"), "i", "w")
-    column = tried.groupBy("layout", "k", (F.col("i") % F.col("k")).alias("c")).agg(F.max("w").alias("w"))
-    total = column.groupBy("layout", "k").agg((F.sum("w") + gap * (F.count("*") - 1)).alias("width"))
-    fits = (F.col("width") <= available) if available > 0 else F.lit(True)
-    best = total.groupBy("layout").agg(F.max_by(F.struct("k", "width"), F.struct(fits, F.when(fits, F.col("k")).otherwise(-F.col("k")))).alias("b"))
-    return best.select("layout", F.col("b.k").alias("columns"), F.col("b.width").alias("width"))
+    cells = rows.filter(F.col("layout").isNotNull()).select("layout", F.posexplode("cells").alias("i", "cell"))
+    places = cells.groupBy("layout", "i").agg(F.max(display_width(F.col("cell"))).alias("w"))
+    w = F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"])
+    at = places.groupBy("layout").agg(w.alias("w")).withColumn("n", F.size("w"))
+
+    def width(k: Column) -> Column:
+        """With k columns, null where no cell has a width."""
+        column = F.transform(F.sequence(F.lit(0), k - 1), lambda c: F.array_max(F.transform(F.sequence(c, F.col("n") - 1, k), lambda i: F.get("w", i))))
+        total = F.aggregate(column, F.lit(0).cast("long"), lambda acc, x: acc + F.coalesce(x, F.lit(0)))
+        return F.when(F.array_max("w").isNotNull(), total + gap * (k - 1))
+
+    most = F.least(F.col("n"), F.lit(available // gap + 1)) if gap and available > 0 else F.col("n")
+    best = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), most), lambda k: width(k) <= available)), F.lit(1)) if available > 0 else F.col("n")
+    return at.select("layout", "w", "n", best.alias("columns")).select("layout", "columns", width(F.col("columns")).alias("width"))
 
 
 def histogram(samples: DataFrame, bounds: list[float]) -> DataFrame:

@@ -224,3 +224,15 @@ def test_steps_of_chains_broadcast_nothing(spark):
     plan = P.chains(s, spark.createDataFrame([("b",)], "head string"))._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join " in line]
     assert len(joins) == 2 and all("strategy=merge" in line for line in joins)
+
+
+def test_reflow_tries_columns_without_a_row_for_each(spark):
+    long = ["abc"] * 3000
+    rows = [("a", 0, ["x", "yyyy", "zz"]), ("a", 1, ["xxx", None]), ("b", 0, ["w" * 50, "v"]), ("c", 0, long), ("d", 0, [None, None]), ("e", 0, []), (None, 0, ["x"])]
+    df = spark.createDataFrame(rows, "layout string, row int, cells array<string>")
+    got = stats.reflow(df, 13)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Join" not in plan  # cells become rows, trials don't
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 3, 13), ("b", 1, 50), ("c", 3, 13), ("d", 1, None)]
+    assert {r.layout: (r.columns, r.width) for r in stats.reflow(df.filter("layout <> 'c'"), 0).collect()} == {"a": (3, 13), "b": (2, 53), "d": (2, None)}
+    assert {r.layout: (r.columns, r.width) for r in stats.reflow(df.filter("layout < 'c'"), 8, 0).collect()} == {"a": (2, 7), "b": (1, 50)}
