@@ -1,10 +1,9 @@
-"""Byte-pair encoding by dynamic programming over prefixes, and decoding.
+"""Byte-pair encoding by longest tokens that fit the one before, with steps back, and decoding.
 
-A word is a string over the base tokens. For every prefix there is exactly one token that ends its encoding;
-it is the suffix token t of the prefix for which the encoding of what stands before t ends in a token that is
-compatible with t. The tokens that are suffixes come from a suffix automaton of the vocabulary, walked once over
-the word; compatibility of two tokens is decided by their merge trees. Back-pointers from the last prefix give
-the ids. A word of n base tokens costs n automaton steps and a few tests each, however long it is.
+A word's encoding is the only sequence of tokens that spells it in which every two neighbours are compatible, which
+their merge trees decide. It is sought from the left, longest token first; a place from which nothing fits the one
+encoding of what stands before it is never tried again, so a word of n bytes costs at most n places of a few tests
+each, however long it is.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from corvane.llm.shared import Memo, bound_batches, held
 
 #: Words and chunks that one Python worker remembers by default, each in two generations (about 1.4 KB for each of them
 #: in all), and pairs of tokens whose compatibility it remembers.
-MEMO_WORDS, MEMO_PAIRS = 100_000, 200_000
+MEMO_WORDS, MEMO_PAIRS = 200_000, 200_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\s+")
 
@@ -37,60 +36,6 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class Automaton:
-    """Suffix automaton of the vocabulary: which tokens end at each place of a word.
-
-    Transitions are in one dictionary by state * width + symbol. down[s] is the longest token that is a suffix
-    of every string of s's suffix-link ancestors, s itself left out, as the state where that token ends.
-    """
-
-    def __init__(self, tokens: list[tuple[int, ...]], width: int):
-        self.width, self.next, self.link, self.size = width, {}, [-1], [0]
-        out: list[list[int]] = [[]]  # the symbols on which each state has a transition
-        nxt, link, size = self.next, self.link, self.size
-
-        def state(length: int, suffix: int) -> int:
-            size.append(length)
-            link.append(suffix)
-            out.append([])
-            return len(size) - 1
-
-        def split(p: int, q: int, c: int) -> int:
-            """A copy of q for its strings up to one longer than p's; transitions that led to q by these move over."""
-            r = state(size[p] + 1, link[q])
-            for d in out[q]:
-                nxt[r * width + d] = nxt[q * width + d]
-            out[r] = out[q][:]
-            link[q] = r
-            while p >= 0 and nxt.get(p * width + c) == q:
-                nxt[p * width + c] = r
-                p = link[p]
-            return r
-
-        ends = []
-        for word in tokens:
-            last = 0
-            for c in word:
-                p, q = last, nxt.get(last * width + c)
-                if q is not None:
-                    last = q if size[q] == size[p] + 1 else split(p, q, c)
-                    continue
-                new = state(size[p] + 1, 0)
-                while p >= 0 and (q := nxt.get(p * width + c)) is None:
-                    nxt[p * width + c] = new
-                    out[p].append(c)
-                    p = link[p]
-                if p >= 0:
-                    link[new] = q if size[q] == size[p] + 1 else split(p, q, c)
-                last = new
-            ends.append(last)
-        self.token = dict(zip(ends, range(len(tokens)), strict=True))
-        self.down = [-1] * len(size)
-        for s in sorted(range(1, len(size)), key=size.__getitem__):
-            up = link[s]
-            self.down[s] = up if up in self.token else self.down[up]
-
-
 class PrefixBpe:
     """Encoder and decoder for one vocabulary file in the tokenizers library's JSON form."""
 
@@ -113,14 +58,27 @@ class PrefixBpe:
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.final = [vocab[s + self.suffix] for s in symbols]
-        base = {i: k for k, i in enumerate(dict.fromkeys(self.inner + self.final))}
-        self.base = base
-        spelled: dict[int, tuple[int, ...]] = {i: (k,) for i, k in base.items()}
+        #: tokens by the bytes they spell, as Latin-1: those that end no word, and those that end one
+        self.within = {chr(c): i for c, i in enumerate(self.inner)}
+        self.ending = {chr(c): i for c, i in enumerate(self.final)}
+        inside = {i: s for s, i in self.within.items()}
+        at_end = {i: s for s, i in self.ending.items()} if self.suffix else inside
         for t in sorted(self.rank, key=self.rank.__getitem__):
-            spelled[t] = spelled[self.left[t]] + spelled[self.right[t]]
-        self.ids = list(spelled)
-        self.length = [len(x) for x in spelled.values()]
-        self.automaton = Automaton(list(spelled.values()), len(base))
+            x, y = self.left[t], self.right[t]
+            if y in inside:
+                inside[t] = inside[x] + inside[y]
+                self.within.setdefault(inside[t], t)
+            else:
+                at_end[t] = inside[x] + at_end[y]
+                self.ending.setdefault(at_end[t], t)
+        if not self.suffix:
+            self.ending = self.within
+        self.most = max(map(len, self.ending))
+        #: of the first two bytes of tokens within a word: the length of the longest that begins with them
+        self.reach: dict[str, int] = {}
+        for s in self.within:
+            if len(s) > self.reach.get(s[:2], 1):
+                self.reach[s[:2]] = len(s)
         self.fits: dict[int, bool] = {}
         self.ends: dict[int, list] = {}
         self.starts: dict[int, list] = {}
@@ -148,55 +106,51 @@ class PrefixBpe:
         """
         if len(self.fits) > MEMO_PAIRS:
             self.fits.clear()
-        fits, pair = True, self.pair
-        starts = self._edge(y, self.left, self.starts)
+        fits = self.fits[x << 32 | y] = self._compatible(x, y)
+        return fits
+
+    def _compatible(self, x: int, y: int) -> bool:
+        pair, starts = self.pair.get, self._edge(y, self.left, self.starts)
         for a, ua in self._edge(x, self.right, self.ends):
             for b, ub in starts:
-                r = pair.get(a << 32 | b)
+                r = pair(a << 32 | b)
                 if r is not None and r < ua and r <= ub:
-                    fits = False
-        self.fits[x << 32 | y] = fits
-        return fits
+                    return False
+        return True
 
     def encode_word(self, word: bytes) -> list[int]:
         """The ids of one word."""
-        n = len(word)
-        auto, ids, length = self.automaton, self.ids, self.length
-        nxt, link, size, token, down, width = auto.next, auto.link, auto.size, auto.token, auto.down, auto.width
-        base, inner, fits = self.base, self.inner, self.fits
-        symbols = [base[inner[c]] for c in word]
-        symbols[-1] = base[self.final[word[-1]]]
-        last: list[int] = [-1]  # the token that ends each prefix
-        back: list[int] = [0]  # and how long it is
-        state = matched = 0
-        step = nxt.get
-        for i, c in enumerate(symbols, 1):
-            to = step(state * width + c)
-            while to is None:
-                state = link[state]
-                matched = size[state]
-                to = step(state * width + c)
-            state = to
-            matched += 1
-            at = state if matched == size[state] and state in token else down[state]
-            while True:
-                k = token[at]
-                long = length[k]
-                t = ids[k]
-                if long == i:
-                    break
-                x = last[i - long]
-                ok = fits.get(x << 32 | t)
-                if ok or ok is None and self.compatible(x, t):
-                    break
-                at = down[at]
-            last.append(t)
-            back.append(long)
-        out = []
-        while n:
-            out.append(last[n])
-            n -= back[n]
-        return out[::-1]
+        s, n, most = word.decode("latin-1"), len(word), self.most
+        within, ending, reach, fits = self.within.get, self.ending.get, self.reach.get, self.fits
+        out: list[int] = []
+        starts: list[int] = []
+        dead: set[int] = set()  # places at which no token fits what stands before
+        i, end, x = 0, n, -1  # the next token starts at i and ends at `end` at most, x stands before it
+        while i < n:
+            found = False
+            if end == n:
+                end = n - 1
+                if n - i <= most and (t := ending(s[i:])) is not None:
+                    ok = x < 0 or fits.get(x << 32 | t)
+                    if ok or ok is None and self.compatible(x, t):
+                        out.append(t)
+                        return out
+            for j in range(min(end, i + reach(s[i : i + 2], 1)), i, -1):
+                if (t := within(s[i:j])) is not None and j not in dead:
+                    ok = x < 0 or fits.get(x << 32 | t)
+                    if ok or ok is None and self.compatible(x, t):
+                        found = True
+                        break
+            if found:
+                out.append(t)
+                starts.append(i)
+                i, end, x = j, n, t
+            else:
+                dead.add(i)
+                out.pop()
+                end, i = i - 1, starts.pop()
+                x = out[-1] if out else -1
+        return out
 
     def _word(self, word: str) -> tuple[str, str]:
         ids = self.encode_word(word.encode("utf-8", "surrogatepass"))
@@ -226,8 +180,11 @@ class PrefixBpe:
                 got += [x for x in map(get, filter(None, _SPACE.split(part))) if x[0]]
             else:
                 got += map(get, part.split())
-        ids = " ".join([x[0] for x in got])
-        return ids.count(" ") + 1 if ids else 0, ids, " ".join([x[1] for x in got])
+        if not got:
+            return 0, "", ""
+        of_ids, of_tokens = zip(*got, strict=True)
+        ids = " ".join(of_ids)
+        return ids.count(" ") + 1 if ids else 0, ids, " ".join(of_tokens)
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings, special ones too, joined by a space, as this vocabulary has no decoder of its own."""

@@ -75,3 +75,20 @@ def test_whole_table(spark):
     got = {r.doc_id: r.ids_sha256 for r in bpe.encode_documents(spark, docs, tokenizer("word_bpe_49k.json")).collect()}
     for r in docs.collect():
         assert got[r.doc_id] == hashlib.sha256(" ".join(map(str, t.encode(r.text, add_special_tokens=False).ids)).encode()).hexdigest()
+
+
+def test_model_is_small_and_long_words_take_linear_steps():
+    """On the vocabulary with steps back; a model of a worker takes less than 30 MB."""
+    import tracemalloc
+
+    path = tokenizer("word_bpe_49k.json")
+    t, spec, r = Tokenizer.from_file(path), open(path).read(), random.Random(3)
+    tracemalloc.start()
+    m = bpe.PrefixBpe(spec, 100)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used < 30e6
+    bits = ["ing", "tion", "er", "ß", "ü", "th", "n", "e", "a", "an", "chung"]
+    words = ["".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(2000)] + ["".join(r.choice(bits) for _ in range(20_000))]
+    for w in words:
+        assert m.encode_word(w.encode()) == t.encode(w, add_special_tokens=False).ids
