@@ -38,8 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and blank texts are copies of nothing and stay; rows with a null doc_id can't be named in a group and go; of
     rows with the same doc_id all stay or all go, as the one with the largest set decides.
     """
-    kept = minhash.near_duplicates(spark, docs, num=80, den=100).filter("kept").select(F.col("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return minhash.keep_firsts(docs, minhash.near_duplicates(spark, docs, num=80, den=100))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

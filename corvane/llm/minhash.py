@@ -1,17 +1,15 @@
-"""Near-duplicate documents by MinHash with tensored banding, confirmed on full shingle sets.
+"""Near-duplicate documents by MinHash with banding, confirmed on full shingle sets.
 
-Two small collections of `rows`-wide minhash blocks, A and B, are drawn for each document. A table of the
-index is a pair (i, j) of blocks and its key the pair (A_i, B_j), so `blocks`**2 tables cost only
-2 * blocks * rows minhashes. A pair of documents of similarity s shares a table unless all A blocks or all
-B blocks differ: it is missed with probability 1 - (1 - (1 - s**rows)**blocks)**2, which with the defaults
-(rows 4, blocks 14) is 6e-5 at 0.85 and 1.2e-3 at 0.80, and falls fast above.
+Each document gets 2 * `blocks` blocks of `rows` minhashes; a block is a table of the index and its hash the key
+in it. A pair of documents of similarity s shares no table with probability (1 - s**rows)**(2 * blocks), which
+with the defaults (rows 8, blocks 19) is 6e-6 at 0.85 and 9.3e-4 at 0.80, and falls fast above. A document has one
+row a table at most, however many share its blocks.
 
 Steps, each a Spark job over a keyed shuffle:
 1. one pass over the texts gives each document its set size, a 128-bit digest of its set and the minhashes;
 2. equal sets collapse to their smallest doc_id, so a large group of copies is one row from here on;
-3. blocks that only one set has are dropped before the pairs are formed: they can't be part of a shared key;
-4. in each bucket every member is paired with the smallest one; the distinct pairs are verified;
-5. buckets in which more than one component is left, one for each set of members, are compared in full, in blocks of bounded size and
+3. in each bucket (the sets that share a key) every member is paired with the smallest one; the distinct pairs are verified;
+4. buckets in which more than one component is left, one for each set of members, are compared in full, in blocks of bounded size and
    within reach of each other's set size, only across components; what agrees on enough minhashes and on a
    sketch of the smallest shingles, which is the whole set of a short text, is verified.
 """
@@ -27,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import Scratch, connected_components, mix, word_hashes
+from corvane.llm.shared import Scratch, connected_components, fresh, mix, word_hashes
 
 WORDS = 5
 #: Members of a bucket that are compared with each other in one group of a task.
 BLOCK = 2048
+#: Minhashes whose low bytes are a document's signature, which tells whether a candidate is worth confirming.
+SIGNATURE = 112
 #: Shingles of a set in its sketch: a comparison of sets up to this size is exact.
 SKETCH = 128
 #: Shingles of the sets that a task keeps while it confirms pairs.
@@ -72,8 +72,8 @@ def minhashes(s: np.ndarray, mult: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, rows: int, blocks: int, seed: int = 11) -> DataFrame:
-    """Per text: set size, digest of the set, a key for each block of minhashes, the low byte of each minhash, and the
-    upper halves of the SKETCH smallest shingles."""
+    """Per text: set size, digest of the set, a key for each of the 2 * blocks blocks of minhashes (its lowest byte is the
+    block's number, of 256 at most), the low bytes of the first SIGNATURE minhashes, and the upper halves of the SKETCH smallest shingles."""
     mult, fold = multipliers(2 * rows * blocks, seed), np.array([pow(_MULT[0].item(), k + 1, 1 << 64) for k in range(rows)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,22 +87,46 @@ def features(docs: DataFrame, rows: int, blocks: int, seed: int = 11) -> DataFra
                 hi.append((d >> 64) - (1 << 63))
                 lo.append((d & ((1 << 64) - 1)) - (1 << 63))
                 low = minhashes(s, mult) if len(s) else np.empty(0, np.uint32)
-                sig.append(low.astype(np.uint8).tobytes())
+                sig.append(low[:SIGNATURE].astype(np.uint8).tobytes())
                 sketch.append((s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
-                keys.append(mix((low.reshape(-1, rows) * fold).sum(axis=1, dtype=np.uint64) + number).view(np.int64) if len(s) else np.empty(0, np.int64))
+                keys.append((mix((low.reshape(-1, rows) * fold).sum(axis=1, dtype=np.uint64) + number) & ~np.uint64(255) | number).view(np.int64) if len(s) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_hi", "set_lo", "blocks", "sig", "sketch"])
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, _FEATURES)
 
 
-def _may_be_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Of rows(id, ...), those whose id is in ids(id) and perhaps others: a bitmap of hashed ids spares most texts a shuffle."""
-    h = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)) + 1
-    bits = ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits"))
+def _flag(rows: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean `name`: true where rows' key is in ids(id), perhaps for others too. A bitmap of hashed ids tells
+    it, so that rows needn't be shuffled; a null key gives false."""
+    h, part, bits = F.pmod(F.xxhash64(key), F.lit(MAP_BITS)) + 1, fresh(rows.columns, "part"), fresh(rows.columns, "bits")
+    of = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)) + 1
+    map_ = ids.select(of.alias("h")).groupBy(F.bitmap_bucket_number("h").alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias(bits))
     at = F.bitmap_bit_position(h)
-    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(h) == F.col("__part")).filter(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__part", "__bits")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.col(key).isNotNull() & F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return rows.join(F.broadcast(map_), F.bitmap_bucket_number(h) == F.col(part), "left").select(*rows.columns, found.alias(name))
+
+
+def _may_be_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of rows(id, ...), those whose id is in ids(id) and perhaps others, without a shuffle of rows."""
+    name = fresh(rows.columns, "may")
+    return _flag(rows, "id", ids, name).filter(F.col(name)).drop(name)
+
+
+def keep_firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, ...) whose doc_id is kept in found, a result of near_duplicates over them.
+
+    A bitmap of the ids that go, and one of the kept ids that it also hits, decide on nearly all rows where they lie;
+    only rows that both bitmaps hit are shuffled, so the texts aren't.
+    """
+    key, out, stay = (fresh(docs.columns, c) for c in ("key", "out", "stay"))
+    gone = found.filter("not kept").select(F.col("doc_id").alias("id"))
+    spared = _may_be_in(found.filter("kept").select(F.col("doc_id").alias("id")), gone)
+    rows = docs.withColumn(key, F.col("doc_id").cast("long")).filter(F.col(key).isNotNull())
+    rows = _flag(_flag(rows, key, gone, out), key, spared, stay)
+    unsure = rows.filter(F.col(out) & F.col(stay)).join(spared.withColumnRenamed("id", key), key, "left_semi")
+    return rows.filter(~F.col(out)).select(docs.columns).union(unsure.select(docs.columns))
 
 
 def sketch_matrix(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +187,7 @@ def _confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame, num: int, den:
     return links
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: int = 100, rows: int = 4, blocks: int = 14, slack: float = 4.5) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: int = 100, rows: int = 8, blocks: int = 19, slack: float = 4.5) -> DataFrame:
     """Components of documents whose shingle sets have den * intersection >= num * union.
 
     docs(doc_id, text, ...); other columns are ignored, whatever their names. Returns one row for each doc_id:
@@ -176,7 +200,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").withColumn("text_key", F.xxhash64("text"))
     feats = scratch.keep(features(docs, rows, blocks), "features")
-    width = 2 * rows * blocks
+    width = min(SIGNATURE, 2 * rows * blocks)
     floor = num / den - slack * float(np.sqrt(num / den * (1 - num / den) / width))
     # one text for each doc_id; where ids don't repeat there is nothing to leave out
     counts = feats.groupBy("doc_id").agg(F.count("*").alias("c"), F.max(F.struct("n_shingles", "set_hi", "set_lo", "text_key")).alias("best")).filter("c > 1")
@@ -192,17 +216,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     alone = feats.filter("n_shingles > 0").select("doc_id", "blocks").join(rep_of.filter("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
     alone = scratch.keep(alone.select("doc_id", "blocks"), "sets")  # signature and sketch don't move with it
     # blocks that at least two sets share
-    keys = alone.select(F.col("doc_id").alias("id"), F.posexplode("blocks").alias("k", "key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")  # a key depends on its block's number
-    held = keys.join(shared.select("key"), "key")
-    side = lambda test: F.collect_list(F.when(test, F.struct("k", "key")))
-    sides = held.groupBy("id").agg(side(F.col("k") < blocks).alias("a"), side(F.col("k") >= blocks).alias("b"))
-    tensor = sides.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b"))
-    tensor = tensor.select("id", F.xxhash64("a.key", "b.key").alias("key"), (F.col("a.k") * 256 + F.col("b.k") - blocks).alias("t"))
-    counted = tensor.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low")).filter("c > 1")
-    buckets = scratch.keep(tensor.join(counted, "key").select("key", "t", "id", "low"), "buckets")
+    keys = alone.select(F.col("doc_id").alias("id"), F.explode("blocks").alias("key"))
+    counted = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    buckets = scratch.keep(keys.join(counted.select("key", "low"), "key"), "buckets")  # an id is in a bucket once
     scratch.drop(alone, groups)
-    size = feats.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "blocks", "sig", "sketch")
+    every = feats.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "blocks", "sig", "sketch")
+    size = _may_be_in(every, buckets.select("id"))  # most documents are in no bucket
 
     @F.arrow_udf("boolean")
     def near(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -216,27 +235,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     links = _confirm(scratch, docs, first, num, den)
     labels = scratch.keep(connected_components(scratch, links), "components")
     # what the stars left open
-    lab = buckets.select("key", "t", "id").join(labels, "id", "left").select("key", "t", "id", F.coalesce("component", "id").alias("lab"))
-    mixed = lab.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.min("t").alias("t"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("lo < hi")
+    lab = buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("lab"))
+    mixed = lab.groupBy("key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("lo < hi")
     # buckets of the same members hold the same pairs: the one of the first table stands for all, and no pair's first table is lost
-    mixed = mixed.groupBy("lo", "hi", "c", "x", "y").agg(F.min_by("key", "t").alias("key")).select("key")
+    mixed = mixed.groupBy("lo", "hi", "c", "x", "y").agg(F.min_by("key", F.col("key").bitwiseAND(255)).alias("key")).select("key")
     step = float(np.log(den / num)) * (1 + 1e-9)  # sets in reach of each other are one band apart at most
     band = F.floor(F.log(F.col("n")) / step)
     bands = F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))
-    rest = lab.join(mixed, "key").join(size.select("id", "n"), "id").select("key", "t", "id", "lab", F.explode(bands).alias("x")).select("key", "t", "id", "lab", "x.*")
+    rest = lab.join(mixed, "key").join(size.select("id", "n"), "id").select("key", "id", "lab", F.explode(bands).alias("x")).select("key", "id", "lab", "x.*")
     open_ = scratch.keep(rest, "open")
     scratch.drop(buckets)
     many = open_.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.max("home").alias("any")).filter("lo < hi and any").select("key", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
     rest = open_.join(many, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     with_part = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("p"), F.greatest(p, F.col("part")).alias("q")))
-    rest = rest.withColumn("at", F.explode(with_part)).select("key", "t", "band", "at.p", "at.q", "part", "id", "lab", "home")
+    rest = rest.withColumn("at", F.explode(with_part)).select("key", "band", "at.p", "at.q", "part", "id", "lab", "home")
     short = F.transform("blocks", lambda x: F.shiftright(x, 32).cast("int"))  # tells the first table but for 1 pair in 10**8
     members = scratch.keep(open_.join(many.select("key", "band"), ["key", "band"]).select("id").distinct(), "members")
-    wide = _may_be_in(size, members).withColumn("blocks", short)
+    wide = _may_be_in(every, members).withColumn("blocks", short)
     rest = rest.join(wide, "id")  # bounded: about 750 bytes a row
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group; a group may go on in the next batch. A pair counts in the first table it shares, by the upper halves of the block keys that make the tables."""
+        """Rows come sorted by group; a group may go on in the next batch. A pair counts in the first table it shares, by the upper halves of the keys."""
         rest: pa.Table | None = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
@@ -250,8 +269,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
                 continue
             done, rest = rest.slice(0, whole), rest.slice(whole)
             p, q, part, ids, lab_, n, home = (done.column(c).to_numpy(zero_copy_only=False) for c in ("p", "q", "part", "id", "lab", "n", "home"))
-            sig, t = np.frombuffer(b"".join(done.column("sig").to_pylist()), np.uint8).reshape(-1, width), done.column("t").to_numpy()
-            block = done.column("blocks").combine_chunks().flatten().to_numpy().reshape(-1, 2, blocks)
+            sig, table = np.frombuffer(b"".join(done.column("sig").to_pylist()), np.uint8).reshape(-1, width), done.column("key").to_numpy() & 255
+            block = done.column("blocks").combine_chunks().flatten().to_numpy().reshape(-1, 2 * blocks)
             matrix, held = sketch_matrix(done.column("sketch").to_pylist())
             src, dst, gathered = [], [], 0
             for a, b in itertools.pairwise([0, *cuts[cuts < whole], whole]):
@@ -266,8 +285,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
                         ok = (sig[j] == sig[i]).sum(axis=1) >= floor * width
                         ok[ok] = sketches_near(i, j[ok], matrix, held, n, num / den, slack)
                         j = j[ok]
-                        in_block = (block[j] == block[i]).argmax(axis=2)
-                        other = ids[j[in_block[:, 0] * 256 + in_block[:, 1] == t[i]]]
+                        other = ids[j[(block[j] == block[i]).argmax(axis=1) == table[i]]]
                         src.append(np.minimum(ids[i], other))
                         dst.append(np.maximum(ids[i], other))
                         gathered += len(other)

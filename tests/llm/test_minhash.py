@@ -143,3 +143,35 @@ def test_recall_by_similarity(spark):
         rows += [(i, " ".join(base)), (i + 1, " ".join(other))]
         i += 2
     assert run(spark, rows) == brute(rows)
+
+
+def test_a_document_has_one_row_a_table(spark, monkeypatch):
+    """In a large group of texts that share much, a document's rows are bounded by the tables, not by pairs of them."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    shared = [word() for _ in range(200)]
+    rows = [(i, " ".join(shared + [word() for _ in range(20 + i % 5)])) for i in range(120)]
+    seen, keep = {}, Scratch.keep
+
+    def count(self, df, tag):
+        out = keep(self, df, tag)
+        seen.setdefault(tag, out.count() if tag in ("buckets", "open") else 0)
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", count)
+    assert run(spark, rows, num=80) == brute(rows, num=80)
+    assert 0 < seen["buckets"] <= 38 * len(rows)
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 24])
+def test_keep_firsts_is_the_semi_join(spark, monkeypatch, bits):
+    """Maps in which most ids collide give the same rows as ones in which none do; texts stay where they are in the latter."""
+    monkeypatch.setattr(minhash, "MAP_BITS", bits)
+    docs = spark.createDataFrame([(None if i % 50 == 0 else i // 2, f"text {i}", i) for i in range(400)], "doc_id int, text string, part int")
+    found = spark.createDataFrame([(i, i % 3 > 0) for i in range(200)], "doc_id long, kept boolean")
+    want = docs.join(found.filter("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    got = minhash.keep_firsts(docs, found)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    none = minhash.keep_firsts(docs, found.withColumn("kept", found.doc_id >= 0))
+    assert none.count() == docs.filter("doc_id is not null").count()
