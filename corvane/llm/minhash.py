@@ -187,6 +187,25 @@ def _confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame, num: int, den:
     return links
 
 
+def _deal(open_: DataFrame) -> DataFrame:
+    """open_(key, band, id, lab, home) of buckets with several components, dealt into groups (p, q) of two parts of a
+    bucket, or one where p = q, that are compared in a task.
+
+    In a bucket of more than BLOCK members, those of its largest component have parts of their own, which only meet the
+    parts of the others: the component's rows are repeated for each BLOCK of other members, not for each of its own.
+    """
+    labs = open_.groupBy("key", "band", "lab").agg(F.count("*").alias("c"), F.max("home").alias("any"))
+    many = labs.groupBy("key", "band").agg(F.sum("c").alias("c"), F.max(F.struct("c", "lab")).alias("main"), F.count("*").alias("labs"), F.max("any").alias("any")).filter("labs > 1 and any")
+    large, parts = F.col("c") > BLOCK, lambda c: F.ceil(c / BLOCK).cast("int")
+    many = many.select("key", "band", F.when(large, F.col("main.lab")).alias("main"), F.when(large, parts(F.col("c") - F.col("main.c"))).otherwise(1).alias("others"), F.when(large, parts(F.col("main.c"))).otherwise(0).alias("mains"))
+    of_main, others, mains, h = F.coalesce(F.col("lab") == F.col("main"), F.lit(False)), F.col("others"), F.col("mains"), F.xxhash64("id")
+    part = F.when(of_main, others + F.pmod(h, F.greatest(mains, F.lit(1)))).otherwise(F.pmod(h, others)).cast("int")
+    meets = F.sequence(F.lit(0), F.when(of_main, others).otherwise(others + mains) - 1)
+    rest = open_.join(many, ["key", "band"]).withColumn("part", part)
+    groups = F.transform(meets, lambda p: F.struct(F.least(p, F.col("part")).alias("p"), F.greatest(p, F.col("part")).alias("q")))
+    return rest.withColumn("at", F.explode(groups)).select("key", "band", "at.p", "at.q", "part", "id", "lab", "home")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: int = 100, rows: int = 8, blocks: int = 19, slack: float = 4.5) -> DataFrame:
     """Components of documents whose shingle sets have den * intersection >= num * union.
 
@@ -245,12 +264,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 85, den: in
     rest = lab.join(mixed, "key").join(size.select("id", "n"), "id").select("key", "id", "lab", F.explode(bands).alias("x")).select("key", "id", "lab", "x.*")
     open_ = scratch.keep(rest, "open")
     scratch.drop(buckets)
-    many = open_.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.max("home").alias("any")).filter("lo < hi and any").select("key", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-    rest = open_.join(many, ["key", "band"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    with_part = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("p"), F.greatest(p, F.col("part")).alias("q")))
-    rest = rest.withColumn("at", F.explode(with_part)).select("key", "band", "at.p", "at.q", "part", "id", "lab", "home")
+    rest = _deal(open_)
     short = F.transform("blocks", lambda x: F.shiftright(x, 32).cast("int"))  # tells the first table but for 1 pair in 10**8
-    members = scratch.keep(open_.join(many.select("key", "band"), ["key", "band"]).select("id").distinct(), "members")
+    members = scratch.keep(rest.select("id").distinct(), "members")
     wide = _may_be_in(every, members).withColumn("blocks", short)
     rest = rest.join(wide, "id")  # bounded: about 750 bytes a row
 

@@ -175,3 +175,25 @@ def test_keep_firsts_is_the_semi_join(spark, monkeypatch, bits):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     none = minhash.keep_firsts(docs, found.withColumn("kept", found.doc_id >= 0))
     assert none.count() == docs.filter("doc_id is not null").count()
+
+
+def test_a_large_component_isnt_dealt_against_itself(spark, monkeypatch):
+    """Every two members of different components meet once; a large component with a few others costs a row or two a member."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    buckets = {1: [0] * 160 + [1, 2], 2: [0] * 3 + [1] * 4, 3: [0] * 30 + list(range(1, 20)), 4: [0] * 20}
+    rows = [(k, 5, 1000 * k + i, lab, True) for k, labs in buckets.items() for i, lab in enumerate(labs)]
+    dealt = minhash._deal(spark.createDataFrame(rows, "key long, band long, id long, lab long, home boolean")).collect()
+    assert {x.key for x in dealt} == {1, 2, 3}
+    assert sum(x.key == 1 for x in dealt) <= 160 + 2 * (1 + 20)
+    groups, met = {}, []
+    for x in dealt:
+        groups.setdefault((x.key, x.p, x.q), []).append(x)
+    for (_, p, q), g in groups.items():
+        met += [tuple(sorted((x.id, y.id))) for i, x in enumerate(g) for y in g[i + 1 :] if x.lab != y.lab and {x.part, y.part} == {p, q}]
+    want = [(a[2], b[2]) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[0] == b[0] and a[3] != b[3]]
+    assert sorted(met) == sorted(want)
+
+
+def test_against_brute_force_in_small_blocks(spark, copies, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    assert run(spark, copies, num=80) == brute(copies, num=80)
